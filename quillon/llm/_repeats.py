@@ -7,10 +7,11 @@ makes n - 1 pairs. Each pair's documents are compared unit by unit, both ways
 from the anchor, to the full extent of the match.
 
 A match with the first occurrence alone can hide a longer one: B and C may
-agree where both differ from the first. So the occurrences whose surroundings
-are not wholly covered are grouped again by where and how they differ from the
-first; groups of two or more get their own first occurrence and are extended
-likewise, until no such group is left. Hence with ``least = k + w - 1``:
+agree where both differ from the first. So the runs of ``least = k + w - 1``
+units around an anchor that its match doesn't cover are hashed as a whole, and
+joined with their own first occurrence. A run whose first occurrence is not
+that of its anchor is among those in both documents, because the winnowed
+anchor of a run depends on nothing else. One more extension is thus enough:
 
 * every reported run is a match of at least ``least`` units with an earlier
   place that can't be extended to either side, and
@@ -31,8 +32,8 @@ from . import _text
 from ._shared import SLICE_BYTES, Scratch
 
 Units = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
-_OUT = pa.schema([("kind", pa.int8()), ("id", pa.int64()), ("tag", pa.int64()), ("rid", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("c", pa.int32()), ("d", pa.int32()), ("key", pa.int64())])
-_OUT_SQL = "kind tinyint, id long, tag long, rid long, a int, b int, c int, d int, key long"
+_OUT = pa.schema([("kind", pa.int8()), ("id", pa.int64()), ("tag", pa.int64()), ("rid", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("c", pa.int32()), ("h", pa.int64())])
+_OUT_SQL = "kind tinyint, id long, tag long, rid long, a int, b int, c int, h long"
 
 
 def word_units(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -91,31 +92,45 @@ def _run_length(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def _extended(x: np.ndarray, y: np.ndarray, own: bool, pos: np.ndarray, rpos: np.ndarray, k: int, least: int) -> list[tuple[int, int, int]]:
-    """(start, end, diagonal) of the match around each seed, in the seeds' order."""
+    """(start, end, start in y) of the matches of at least ``least`` units around the seeds, which are sorted."""
     out, at = [], {}
-    best = (0, 0)
+    best = (0, 0, 0)
     for p, r in zip(pos.tolist(), rpos.tolist(), strict=True):
         d = p - r
         s, e = at.get(d, (0, 0))
-        if not (s <= p and p + k <= e):
-            if p + k > len(x) or r + k > len(y) or (own and p <= r) or not np.array_equal(x[p : p + k], y[r : r + k]):
-                out.append((-1, -1, d))
+        if s <= p and p + k <= e:
+            continue
+        if p + k > len(x) or r + k > len(y) or (own and p <= r) or not np.array_equal(x[p : p + k], y[r : r + k]):
+            continue
+        bs, be, bd = best
+        if bs <= max(0, p + k - least) and min(len(x), p + least) <= be and (be == len(x) or be - bd == len(y) or x[be] != y[be - bd]):
+            # all around the seed is covered, so what matches here is inside or reaches on from another seed
+            if p + k < be and _run_length(x[p + k : be], y[r + k :]) < be - p - k:
                 continue
-            bs, be = best
-            if bs <= max(0, p + k - least) and min(len(x), p + least) <= be and (be == len(x) or be - d == len(y) or x[be] != y[be - d]) and (bs == 0 or bs - 1 < d or x[bs - 1] != y[bs - 1 - d]):
-                # what matches here ends within a match that covers all around the seed
-                out.append((bs, be, -1))
-                continue
-            e = p + _run_length(x[p:], y[r:])
-            s = p - _run_length(x[:p][::-1], y[:r][::-1])
-            at[d] = (s, e)
-            if e - s > be - bs or p >= be:
-                best = (s, e)
-        out.append((s, e, d))
+        e = p + _run_length(x[p:], y[r:])
+        s = p - _run_length(x[:p][::-1], y[:r][::-1])
+        at[d] = (s, e)
+        if e - s > be - bs or p >= be:
+            best = (s, e, d)
+        if e - s >= least:
+            out.append((s, e, s - d))
     return out
 
 
-def _extend(units: Units, k: int, least: int):
+def _open_starts(n: int, pos: np.ndarray, matches: list[tuple[int, int, int]], k: int, least: int) -> np.ndarray:
+    """Starts of the runs of ``least`` units that hold a seed and lie in no match."""
+    if n < least:
+        return np.zeros(0, np.int64)
+    edge = np.zeros(n + 2, dtype=np.int32)
+    np.add.at(edge, np.clip(pos + k - least, 0, n - least + 1), 1)
+    np.add.at(edge, np.clip(pos + 1, 0, n - least + 1), -1)
+    open_ = np.cumsum(edge[: n - least + 1]) > 0
+    for s, e, _ in matches:
+        open_[s : e - least + 1] = False
+    return np.flatnonzero(open_)
+
+
+def _extend(units: Units, k: int, least: int, open_runs: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _sized(batches, ["unit", "runit"], SLICE_BYTES * 2):
             v, first = units(batch.column("unit"))
@@ -123,53 +138,39 @@ def _extend(units: Units, k: int, least: int):
             ids, tags, rids = (np.asarray(batch.column(c)) for c in ("id", "tag", "rid"))
             seeds = batch.column("seeds")
             offsets = np.asarray(seeds.offsets)
-            flat = seeds.values
-            pos, rpos, key0 = (np.asarray(flat.field(f)) for f in ("pos", "rpos", "key"))
+            pos, rpos = (np.asarray(seeds.values.field(f)) for f in ("pos", "rpos"))
             rows: list[tuple] = []
+            runs: list[tuple[int, np.ndarray, np.ndarray]] = []
             for i in range(batch.num_rows):
                 x, y = v[first[i] : first[i + 1]], rv[rfirst[i] : rfirst[i + 1]]
                 lo, hi = offsets[i], offsets[i + 1]
                 order = np.lexsort((rpos[lo:hi], pos[lo:hi])) + lo
-                found = _extended(x, y, ids[i] == rids[i], pos[order], rpos[order], k, least)
-                runs = sorted({f for f in found if f[2] != -1 and f[1] - f[0] >= least}, key=lambda f: (f[0], -f[1]))
                 top, kept = -1, []
-                for s, e, d in runs:
-                    if e > top:
-                        top = e
-                        kept.append((s, e))
-                        rows.append((0, ids[i], tags[i], rids[i], s, e, s - d, 0, 0))
-                starts, ends = np.array([s for s, _ in kept] or [0]), np.array([e for _, e in kept] or [0])
-                for (s, e, d), p, r, key in zip(found, pos[order].tolist(), rpos[order].tolist(), key0[order].tolist(), strict=True):
-                    if s < 0 or d == -1:
-                        continue
-                    left, right = max(0, p + k - least), min(len(x), p + least)
-                    j = int(np.searchsorted(starts, left, side="right")) - 1
-                    if j >= 0 and ends[j] >= right:
-                        continue
-                    # the place and the unit of the first difference on either side
-                    for side, here, gap in ((1, e, e - p), (2, s - 1, p - s)):
-                        if (here < right) if side == 1 else (here >= left):
-                            rows.append((side, ids[i], tags[i], rids[i], p, left, right, r, _key(key, side, gap, int(x[here]))))
+                for m in sorted(set(_extended(x, y, ids[i] == rids[i], pos[order], rpos[order], k, least)), key=lambda m: (m[0], -m[1], m[2])):
+                    if m[1] > top:
+                        top = m[1]
+                        kept.append(m)
+                        rows.append((0, ids[i], tags[i], rids[i], *m, 0))
+                if open_runs and len(starts := _open_starts(len(x), pos[order], kept, k, least)):
+                    for part in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
+                        runs.append((i, part, _text.gram_hashes(x[part[0] : part[-1] + least], least)))
             cols = list(zip(*rows, strict=True)) or [[]] * len(_OUT)
             yield pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, _OUT, strict=True)], schema=_OUT)
+            if runs:
+                i = np.repeat([r[0] for r in runs], [len(r[1]) for r in runs])
+                start, h = np.concatenate([r[1] for r in runs]).astype(np.int32), np.concatenate([r[2] for r in runs]).view(np.int64)
+                none = np.zeros(len(i), np.int32)
+                yield pa.record_batch([pa.array(np.ones(len(i), np.int8)), pa.array(ids[i]), pa.array(tags[i]), pa.array(rids[i]), pa.array(start), pa.array(none), pa.array(none), pa.array(h)], schema=_OUT)
 
     return run
 
 
-def _key(*parts: int) -> int:
-    h = 0x243F6A8885A308D3
-    for p in parts:
-        h = ((h ^ (p & 0xFFFFFFFFFFFFFFFF)) * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
-        h ^= h >> 29
-    return h - (1 << 64) if h >= 1 << 63 else h
-
-
-def _paired(occurrences: DataFrame, by: str) -> DataFrame:
-    """Each occurrence but the first of its group, with the first."""
+def _paired(occurrences: DataFrame) -> DataFrame:
+    """(id, rid, seeds): each occurrence of h but the first, with the first, by pair of documents."""
     place = F.struct("id", "pos")
-    firsts = occurrences.groupBy(by).agg(F.min(place).alias("r"), F.max(place).alias("z")).where("r != z").select(F.col(by).alias("g"), F.col("r.id").alias("rid"), F.col("r.pos").alias("rpos"))
-    joined = occurrences.join(firsts, F.col(by) == F.col("g"))
-    return joined.where("id != rid or pos != rpos").select("id", "pos", "rid", "rpos", F.col(by).alias("key"))
+    firsts = occurrences.groupBy("h").agg(F.min(place).alias("r"), F.max(place).alias("z")).where("r != z").select(F.col("h").alias("g"), F.col("r.id").alias("rid"), F.col("r.pos").alias("rpos"))
+    joined = occurrences.join(firsts, F.col("h") == F.col("g")).where("id != rid or pos != rpos")
+    return joined.groupBy("id", "rid").agg(F.collect_set(F.struct("pos", "rpos")).alias("seeds"))
 
 
 def find_repeats(docs: DataFrame, units: Units, k: int, w: int, scratch: Scratch) -> DataFrame:
@@ -184,27 +185,19 @@ def find_repeats(docs: DataFrame, units: Units, k: int, w: int, scratch: Scratch
     least = k + w - 1
     docs = docs.select("id", "tag", "unit")
     found = docs.select("id", "unit").mapInArrow(_anchors(units, k, w), "h long, id long, pos int")
-    seeds = scratch.table(_paired(found, "h"), "seeds0")
-    needed = seeds.select("id").union(seeds.select("rid")).distinct().withColumnRenamed("id", "need")
-    texts = scratch.table(docs.join(needed, F.col("id") == F.col("need")).select("id", "tag", "unit").dropDuplicates(["id", "tag"]), "texts")
-    matches: DataFrame | None = None
-    turn = 0
-    while True:
-        pairs = seeds.groupBy("id", "rid").agg(F.collect_list(F.struct("pos", "rpos", "key")).alias("seeds"))
-        others = texts.select(F.col("id").alias("other"), F.col("unit").alias("runit"))
+    pairs = scratch.table(_paired(found), "pairs")
+    needed = pairs.select("id").union(pairs.select("rid")).distinct().withColumnRenamed("id", "need")
+    texts = scratch.table(docs.join(needed, F.col("id") == F.col("need"), "left_semi").dropDuplicates(["id", "tag"]), "texts")
+    others = texts.select(F.col("id").alias("other"), F.col("unit").alias("runit"))
+
+    def extended(pairs: DataFrame, k: int, open_runs: bool, name: str) -> DataFrame:
         full = pairs.join(texts, "id").join(others, F.col("rid") == F.col("other")).select("id", "tag", "rid", "unit", "runit", "seeds")
-        out = scratch.table(full.mapInArrow(_extend(units, k, least), _OUT_SQL), f"turn{turn}")
-        rows = out.where("kind = 0").select("id", "tag", F.col("a").alias("start"), F.col("b").alias("end"), "rid", F.col("c").alias("rstart"))
-        matches = rows if matches is None else matches.unionByName(rows)
-        open_ = out.where("kind > 0").select("id", F.col("a").alias("pos"), F.col("b").alias("lo"), F.col("c").alias("hi"), "key")
-        m = matches.select(F.col("id").alias("mid"), "start", "end")
-        open_ = open_.join(m, (F.col("id") == F.col("mid")) & (F.col("start") <= F.col("lo")) & (F.col("end") >= F.col("hi")), "left_anti")
-        next_ = _paired(open_, "key")
-        known = matches.select(F.col("id").alias("mid"), F.col("rid").alias("mrid"), "start", "end", (F.col("start") - F.col("rstart")).alias("diagonal"))
-        next_ = next_.join(known, (F.col("id") == F.col("mid")) & (F.col("rid") == F.col("mrid")) & (F.col("pos") - F.col("rpos") == F.col("diagonal")) & F.col("pos").between(F.col("start"), F.col("end") - 1), "left_anti")
-        turn += 1
-        seeds = scratch.table(next_, f"seeds{turn}")
-        if seeds.isEmpty():
-            break
+        return scratch.table(full.mapInArrow(_extend(units, k, least, open_runs), _OUT_SQL), name)
+
+    out = extended(pairs, k, True, "extended")
+    again = extended(scratch.table(_paired(out.where("kind = 1").select("h", "id", F.col("a").alias("pos"))), "open"), least, False, "again")
+    for name in ("pairs", "texts", "open"):
+        scratch.drop(name)
+    matches = out.where("kind = 0").unionByName(again.where("kind = 0")).select("id", "tag", F.col("a").alias("start"), F.col("b").alias("end"), "rid", F.col("c").alias("rstart"))
     before = Window.partitionBy("id", "tag").orderBy("start", F.desc("end"), "rid", "rstart").rowsBetween(Window.unboundedPreceding, -1)
     return matches.withColumn("__top", F.max("end").over(before)).where("__top is null or end > __top").drop("__top")

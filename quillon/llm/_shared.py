@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 import uuid
@@ -16,15 +17,20 @@ from pyspark.sql import functions as F
 NO_ID = -(2**63)
 #: Bytes of text that a Python worker holds in vectors at a time.
 SLICE_BYTES = 2 << 20
+_OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of this process only where it is unset (tests)."""
+    """``spark.checkpoint.dir`` of the session; where it is unset and Spark is local (tests), a folder of this process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="quillon-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    if path:
+        return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if not _OWN:
+        _OWN.append(tempfile.mkdtemp(prefix="quillon-"))
+        atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
+    return "file://" + _OWN[0]
 
 
 class Scratch:
@@ -68,8 +74,3 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             end = max(at + 1, int(np.searchsorted(total, done + limit, side="right")))
             yield batch.slice(at, end - at)
             at = end
-
-
-def remove_local(path: str) -> None:
-    """Remove a folder of the tests' own machine."""
-    shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)

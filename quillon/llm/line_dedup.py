@@ -109,14 +109,14 @@ def dedup_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Data
 #: What dedup_lines gives for documents, as SQL.
 SQL = """
 WITH raw AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
-l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS at FROM raw),
-n AS (SELECT doc_id, trim(line, ' ' || chr(9) || chr(13)) AS line, at, row_number() OVER (PARTITION BY doc_id ORDER BY at) AS pos
+l AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS nr FROM raw),
+n AS (SELECT doc_id, trim(line, ' ' || chr(9) || chr(13)) AS line, nr, row_number() OVER (PARTITION BY doc_id ORDER BY nr) AS pos
       FROM l WHERE trim(line, ' ' || chr(9) || chr(13)) <> ''),
-g AS (SELECT doc_id, pos, at, lead(at, 2) OVER w AS upto, md5(line) || md5(lead(line) OVER w) || md5(lead(line, 2) OVER w) AS gram
+g AS (SELECT doc_id, pos, nr, lead(nr, 2) OVER w AS upto, md5(line) || md5(lead(line) OVER w) || md5(lead(line, 2) OVER w) AS gram
       FROM n WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
 f AS (SELECT *, row_number() OVER (PARTITION BY gram ORDER BY doc_id, pos) AS nth FROM g WHERE gram IS NOT NULL),
-gone AS (SELECT DISTINCT f.doc_id, l.at FROM f JOIN l ON l.doc_id = f.doc_id AND l.at BETWEEN f.at AND f.upto WHERE nth > 1),
-kept AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.at) AS text FROM l ANTI JOIN gone USING (doc_id, at) GROUP BY l.doc_id),
+gone AS (SELECT DISTINCT f.doc_id, l.nr FROM f JOIN l ON l.doc_id = f.doc_id AND l.nr BETWEEN f.nr AND f.upto WHERE nth > 1),
+kept AS (SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.nr) AS text FROM l ANTI JOIN gone USING (doc_id, nr) GROUP BY l.doc_id),
 cut AS (SELECT doc_id, count(*) AS removed_lines FROM gone GROUP BY doc_id)
 SELECT d.doc_id, CASE WHEN cut.doc_id IS NULL THEN d.text ELSE coalesce(kept.text, '') END AS text, d.lang, d.source,
        CASE WHEN cut.doc_id IS NULL THEN d.n_chars ELSE length(coalesce(kept.text, '')) END AS n_chars,

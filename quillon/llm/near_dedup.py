@@ -91,7 +91,10 @@ def matches(docs: DataFrame, scratch: Scratch, coordinates: int = COORDINATES, s
     pairs = met.join(one, "a").join(two, "b").withColumn("matches", agree).where(F.col("matches") >= least)
     first, second = F.least("ra", "rb"), F.greatest("ra", "rb")
     near = pairs.select(first["id"].alias("ida"), first["tag"].alias("taga"), second["id"].alias("idb"), second["tag"].alias("tagb"), "matches")
-    return scratch.table(near.unionByName(copies), "pairs")
+    out = scratch.table(near.unionByName(copies), "pairs")
+    for name in ("signed", "unique", "prefix"):
+        scratch.drop(name)
+    return out
 
 
 def near_duplicates(docs: DataFrame, coordinates: int = COORDINATES, shingle: int = SHINGLE, least: int = LEAST) -> DataFrame:
@@ -109,8 +112,6 @@ def near_duplicates(docs: DataFrame, coordinates: int = COORDINATES, shingle: in
     """
     scratch = Scratch(docs.sparkSession, "near")
     pairs = matches(docs, scratch, coordinates, shingle, least)
-    for name in ("signed", "unique", "prefix"):
-        scratch.drop(name)
     return pairs.select(unknown("ida").alias("doc_a"), unknown("idb").alias("doc_b"), "matches", (F.col("matches") / coordinates).alias("similarity"))
 
 
