@@ -98,7 +98,8 @@ def dedup_lines(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Data
     cuts = scratch.table(later_runs(docs, scratch, gram, window), "cuts").select(F.col("id").alias("__q_id"), F.col("tag").alias("__q_tag"), F.col("cut").alias("__q_cut"))
     own = [F.col(f"`{c}`") for c in docs.columns if c != "removed_lines"]
     rows = docs.select(*own, known("doc_id").alias("__q_id"), F.xxhash64("text").alias("__q_tag"))
-    out = rows.join(cuts, ["__q_id", "__q_tag"], "left")
+    # the same plan at every size: the texts move once, however few of them are cut
+    out = rows.join(cuts.hint("merge"), ["__q_id", "__q_tag"], "left")
     out = out.withColumn("__q_text", F.when(F.col("__q_cut").isNull(), F.col("text")).otherwise(_kept(F.col("text"), F.col("__q_cut"))))
     lines = F.size(F.split("text", "\n", -1)) - F.when(F.col("__q_text") == "", 0).otherwise(F.size(F.split("__q_text", "\n", -1)))
     new = {"text": F.col("__q_text"), "n_chars": F.when(F.col("__q_cut").isNull(), F.col("n_chars")).otherwise(F.length("__q_text").cast(dict(docs.dtypes).get("n_chars", "long"))) if "n_chars" in docs.columns else None}
