@@ -16,7 +16,7 @@ from ._shared import pieces
 #: log2 of the number of hashed features; labelled documents to fit on, at most; passes over them.
 BITS, SAMPLE, PASSES = 20, 20_000, 3
 #: FTRL's learning rate, its smoothing, and the two penalties.
-ALPHA, BETA, L1, L2 = 0.1, 1.0, 1.0, 1.0
+ALPHA, BETA, L1, L2 = 0.3, 1.0, 8.0, 1.0
 #: Of the sample, held out to choose the threshold.
 HELD_OUT = 0.2
 
