@@ -30,14 +30,18 @@ def _strings(value: object) -> list[str]:
     return [s for v in value for s in _strings(v)] if isinstance(value, list) else []
 
 
-@F.pandas_udf("string")
-def deep_text(payload: pd.Series) -> pd.Series:
+def _deep(payload: str | None) -> str | None:
+    try:
+        return None if payload is None else " ".join(_strings(json.loads(payload)))
+    except ValueError:
+        return None
+
+
+def deep_text(payload: Column | str) -> Column:
     """All string values of a JSON payload of any depth, joined by a space; null where it isn't JSON."""
 
-    def of(p: str | None) -> str | None:
-        try:
-            return None if p is None else " ".join(_strings(json.loads(p)))
-        except ValueError:
-            return None
+    @F.pandas_udf("string")
+    def of(payloads: pd.Series) -> pd.Series:
+        return payloads.map(_deep, na_action="ignore")
 
-    return payload.map(of, na_action="ignore")
+    return of(payload)

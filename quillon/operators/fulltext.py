@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -58,6 +58,10 @@ def statistics(rows: DataFrame) -> DataFrame:
     return docs.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
 
 
+def _count(term: str) -> Column:
+    return F.size(F.filter("t", lambda x: x == term))
+
+
 def bm25(rows: DataFrame, text: str, k: int | None = None, k1: float = K1, b: float = B) -> DataFrame:
     """(id, score) by BM25, best first, ties by id; k None gives all matches.
 
@@ -72,7 +76,7 @@ def bm25(rows: DataFrame, text: str, k: int | None = None, k1: float = K1, b: fl
         return empty
     docs = rows.where("text is not null").select("id", tokens(F.col("text")).alias("t"))
     phrases = {c.terms: f"p{i}" for i, c in enumerate(c for c in clauses if len(c.terms) > 1)}
-    counted = docs.select("id", F.size("t").alias("dl"), *[F.size(F.filter("t", lambda x, t=t: x == t)).alias(f"tf{i}") for i, t in enumerate(terms)], *[F.contains(F.concat(F.lit(" "), F.array_join("t", " "), F.lit(" ")), F.lit(" " + " ".join(p) + " ")).alias(name) for p, name in phrases.items()])
+    counted = docs.select("id", F.size("t").alias("dl"), *[_count(t).alias(f"tf{i}") for i, t in enumerate(terms)], *[F.contains(F.concat(F.lit(" "), F.array_join("t", " "), F.lit(" ")), F.lit(f" {' '.join(p)} ")).alias(name) for p, name in phrases.items()])
     stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))])
     joined = counted.crossJoin(F.broadcast(stats))  # one row
     at = {t: i for i, t in enumerate(terms)}

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
+_OWN: list[str] = []
+
 
 def _fs(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -61,3 +66,16 @@ def delete(spark: SparkSession, path: str) -> None:
     """Delete a file or folder."""
     fs, p = _fs(spark, path)
     fs.delete(p, True)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session; where it is unset and Spark is local (tests), a folder of this process."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if not _OWN:
+        _OWN.append(tempfile.mkdtemp(prefix="quillon-"))
+        atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
+    return "file://" + _OWN[0]
