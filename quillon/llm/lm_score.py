@@ -180,7 +180,8 @@ class Automaton:
                 continue
             state = first[k] + (np.searchsorted(self.grams[k - 1], arcs >> np.int64(6)) if k else 0)
             symbol = arcs & np.int64(63)
-            weight[state, symbol] = self.logp[k]
+            own_weight = ~np.isnan(self.logp[k])
+            weight[state[own_weight], symbol[own_weight]] = self.logp[k][own_weight]
             if k + 1 < order:
                 to[state, symbol] = first[k + 1] + np.arange(len(arcs))
         return to, weight
@@ -200,8 +201,13 @@ def automaton_of(model: list[tuple[DataFrame, DataFrame | None]]) -> Automaton:
         b = np.zeros(len(g), dtype=np.float32)
         if backoff is not None:
             t = backoff.toArrow()
-            at = np.searchsorted(g, np.asarray(t["gram"]).astype(np.int64))
-            b[at] = np.asarray(t["backoff"])
+            context = np.asarray(t["gram"]).astype(np.int64)
+            # a context made of padding alone ends no n-gram: a state, but without a weight of its own
+            every = np.union1d(g, context)
+            known, b = np.full(len(every), np.nan, dtype=np.float32), np.zeros(len(every), dtype=np.float32)
+            known[np.searchsorted(every, g)] = w
+            b[np.searchsorted(every, context)] = np.asarray(t["backoff"])
+            g, w = every, known
         grams.append(g)
         logps.append(w)
         backoffs.append(b)

@@ -87,19 +87,25 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROU
         for i, n in config.items():
             covered[i] += n * step
     scale = float((sizes * counts).sum() / (sizes * covered).sum())
+    rounded, plain = _rounded(used, scale, counts, sizes, capacity), _best_fit([], np.zeros(len(sizes), dtype=np.int64), counts.copy(), sizes, capacity, 0)
+    # of a few pieces, rounding can lose more than the program gains
+    return Plan(*(rounded if rounded[1] <= plain[1] else plain), bound)
+
+
+def _rounded(used: dict[tuple[tuple[int, int], ...], float], scale: float, counts: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[list, int]:
+    """Each configuration as often as the program says, rounded down; then once more by the
+    greatest remainders, and the full ones as often as the rest allows; then best fit."""
     left, rank = counts.copy(), np.zeros(len(sizes), dtype=np.int64)
     rows: list[tuple[int, int, int, int, int, int]] = []
     bins = 0
     fill = {k: sum(int(sizes[i]) * n for i, n in k) for k in used}
-    order = sorted(used, key=lambda k: (-fill[k], -used[k], k))
-    # each as often as the program says, rounded down; then the fullest as often as the rest allows
-    for limit in (True, False):
+    typical = sum(fill[k] * x for k, x in used.items()) / sum(used.values())
+    whole = sorted(used, key=lambda k: (-fill[k], -used[k], k))
+    parts = sorted((k for k in used if fill[k] >= typical), key=lambda k: (-(used[k] * scale % 1), -fill[k], k))
+    for step, order in enumerate((whole, parts, [k for k in whole if fill[k] == capacity])):
         for key in order:
             times = int(min(left[i] // n for i, n in key))
-            if limit:
-                times = min(times, int(used[key] * scale))
-            elif fill[key] < capacity:
-                break
+            times = min(times, (int(used[key] * scale), 1, times)[step])
             if times <= 0:
                 continue
             slot = 0
@@ -109,7 +115,7 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROU
                 left[i] -= n * times
                 slot += n
             bins += times
-    return Plan(*_best_fit(rows, rank, left, sizes, capacity, bins), bound)
+    return _best_fit(rows, rank, left, sizes, capacity, bins)
 
 
 def _best_fit(rows: list, rank: np.ndarray, left: np.ndarray, sizes: np.ndarray, capacity: int, bins: int) -> tuple[list, int]:
