@@ -15,34 +15,43 @@ from quillon.llm import decontaminate, line_dedup, near_dedup, packing, toxicity
 from quillon.llm._shared import Scratch
 
 
+def _plain(docs: DataFrame) -> DataFrame:
+    """docs with other columns' names out of the operators' way."""
+    return docs.toDF(*[c if c in ("doc_id", "text", "n_chars") else f"__c{i}" for i, c in enumerate(docs.columns)])
+
+
+def _restored(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """out with the columns of docs, under their names."""
+    return out.select(*[F.col(p).alias(c) for p, c in zip(_plain(docs).columns, docs.columns, strict=True)])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labels, doesn't reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return toxicity.score(docs, toxicity.fit(docs, labels), passing=True)
+    plain = _plain(docs)
+    return _restored(toxicity.score(plain, toxicity.fit(plain, labels), passing=True), docs)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later repeats of runs of lines; those of which nothing is left go."""
-    out = line_dedup.dedup_lines(docs)
-    return out.where((F.col("removed_lines") == 0) | F.col("text").rlike(r"\S")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = line_dedup.dedup_lines(_plain(docs))
+    return _restored(out.where((F.col("removed_lines") == 0) | F.col("text").rlike(r"\S")), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group of near duplicates."""
-    return near_dedup.drop_near_duplicates(docs)
+    return _restored(near_dedup.drop_near_duplicates(_plain(docs)), docs)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the spans they share with test items; those of which nothing is left go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    rest = tuple(c for c in docs.columns if c not in ("text", "longest_match", "removed_words", "spans", "contaminated"))
-    if len(rest) + 1 != len(docs.columns):
-        raise ValueError("docs has a column that decontamination returns")
-    out = decontaminate.decontaminate(docs, benchmark, keep=rest)
+    plain = _plain(docs)
+    out = decontaminate.decontaminate(plain, benchmark, keep=tuple(c for c in plain.columns if c != "text"))
     out = out.where(~F.col("contaminated") | F.col("text").rlike(r"\S"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("contaminated"), F.length("text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return _restored(out, docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
