@@ -178,7 +178,7 @@ class Automaton:
             arcs = self.grams[k]
             if not len(arcs):
                 continue
-            state = first[k] + (np.searchsorted(self.grams[k - 1], arcs >> np.int64(6)) if k else 0)
+            state = first[k] + (np.searchsorted(self.grams[k - 1], arcs >> np.int64(6)) if k else np.zeros(len(arcs), dtype=np.int64))
             symbol = arcs & np.int64(63)
             own_weight = ~np.isnan(self.logp[k])
             weight[state[own_weight], symbol[own_weight]] = self.logp[k][own_weight]
