@@ -81,7 +81,7 @@ def object_store_conf(endpoint: str, access_key: str, secret_key: str) -> dict[s
 
 def export_parquet(rows: DataFrame, path: str) -> None:
     """Write (id, vector, payload)."""
-    rows.select("id", "vector", "payload").write.mode("overwrite").parquet(path)
+    rows.select("id", rows["vector"].cast("array<float>").alias("vector"), "payload").write.mode("overwrite").parquet(path)
 
 
 def under_root(root: str | None, path: str) -> str:
