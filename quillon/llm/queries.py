@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, lm_score, near_dedup, packing, quality, substring_dedup, toxicity, url_filter, warc
+from . import decontaminate, line_dedup, near_dedup, packing, quality, substring_dedup, toxicity, url_filter, warc, word_lm
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,7 +45,7 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.score(_table(spark, sf_dir, "documents"))
+    return word_lm.score(_table(spark, sf_dir, "documents"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

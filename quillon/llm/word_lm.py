@@ -1,0 +1,277 @@
+"""LM scoring over words: n-grams of the whole corpus, and automata in shards.
+
+The symbols are the words of the corpus (see :mod:`._text`), all of them, so the
+vocabulary and the n-grams grow with the input. n-grams of all orders are
+counted, smoothed (Witten-Bell, interpolated) and cut off by count, as in
+:mod:`.lm_score`. An n-gram is a 64-bit hash of its context's hash and its last
+word's. Counting moves one packed block for each task and group of contexts; a
+group is merged in one place, so totals and kinds of a context need no join.
+
+The probabilities of kept n-grams and the backoffs are broadcast as sorted arrays in shards of ``SHARD`` entries,
+of which a worker holds one at a time. The failure arcs are followed by looking
+up the n-grams of all orders that end at a word, the longest first.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import _text
+from ._shared import Scratch, pieces
+
+#: Order of the model; counts below which an n-gram of two words or more is dropped; entries in a shard.
+ORDER, LEAST_COUNT, SHARD = 3, 2, 2_000_000
+#: Words that a task counts at a time, and twice as many are scored.
+WORDS = 400_000
+_MUL = np.uint64(0x9E3779B97F4A7C15)
+
+
+def joined(context: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Hashes of n-grams from those of their contexts and last words; a context of no word is 0."""
+    return _text.mix(context * _MUL + last)
+
+
+def grams(hashes: np.ndarray, place: np.ndarray, order: int) -> list[np.ndarray]:
+    """For each order from 1 the n-gram that ends at each word; what would begin before the text is 0."""
+    out = [joined(np.zeros_like(hashes), hashes)]
+    for k in range(1, order):
+        context = np.concatenate([np.zeros(min(1, len(hashes)), np.uint64), out[-1][:-1]])
+        out.append(np.where(place >= k, joined(context, hashes), np.uint64(0)))
+    return out
+
+
+def _split(x: np.ndarray) -> bytes:
+    """The bytes by significance, which compresses better."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def _whole(raw: bytes, at: int, n: int, kind: type) -> tuple[np.ndarray, int]:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * width, at).reshape(width, n).T).view(kind).ravel(), at + n * width
+
+
+def pack_block(words: list[np.ndarray], n: np.ndarray) -> bytes:
+    """n-grams, given by the hashes of their first, second, ... words, and their counts; sorted, each word written once."""
+    known, at = np.unique(np.concatenate(words), return_inverse=True)
+    columns = at.astype(np.uint32).reshape(len(words), -1)
+    by = np.lexsort(columns[::-1])
+    head = np.array([len(known), len(n)], dtype=np.uint64).tobytes()
+    return b"".join([head, _split(np.diff(known, prepend=np.uint64(0))), *(_split(c[by]) for c in columns), _split(n[by].astype(np.uint32))])
+
+
+def unpack_block(raw: bytes, order: int) -> list[np.ndarray]:
+    """The words' hashes and the counts, from :func:`pack_block`."""
+    words, rows = np.frombuffer(raw, np.uint64, 2).tolist()
+    known, at = _whole(raw, 16, words, np.uint64)
+    known, out = np.cumsum(known, dtype=np.uint64), []
+    for i in range(order + 1):
+        column, at = _whole(raw, at, rows, np.uint32)
+        out.append(known[column] if i < order else column.astype(np.int64))
+    return out
+
+
+def _hash_of(words: list[np.ndarray]) -> np.ndarray:
+    out = np.zeros_like(words[0])
+    for w in words:
+        out = joined(out, w)
+    return out
+
+
+def _groups(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[pa.RecordBatch]]]:
+    """(hashes of words, words of each row, the batches), about ``limit`` words at a time."""
+    hashes, counts, held, size = [], [], [], 0
+    for batch in pieces(batches, "text"):
+        w = _text.words(batch.column("text"))
+        hashes.append(w.hashes)
+        counts.append(np.diff(w.first))
+        held.append(batch.drop_columns(["text"]))
+        size += len(w.hashes)
+        if size >= limit:
+            yield np.concatenate(hashes), np.concatenate(counts), held
+            hashes, counts, held, size = [], [], [], 0
+    if held:
+        yield np.concatenate(hashes), np.concatenate(counts), held
+
+
+def _place(counts: np.ndarray) -> np.ndarray:
+    return np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def kept(docs: DataFrame, order: int = ORDER, least_count: int = LEAST_COUNT, words: int = WORDS) -> DataFrame:
+    """(k, gram, context, suffix, n, total, kinds): the n-grams of all orders that are kept.
+
+    total and kinds are of all n-grams with the context, those that are dropped too.
+    """
+    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for hashes, counts, _ in _groups(batches, words):
+            place = _place(counts)
+            all_grams = grams(hashes, place, order)
+            for k in range(1, order + 1):
+                at = np.flatnonzero(place >= k - 1)
+                if not len(at):
+                    continue
+                gram = all_grams[k - 1][at]
+                by = np.argsort(gram)
+                cut = np.flatnonzero(np.concatenate([[True], np.diff(gram[by]) != 0]))
+                at, n = at[by[cut]], np.diff(np.append(cut, len(gram)))
+                # a context's n-grams stay together; single words have none and are spread by themselves
+                part = ((all_grams[k - 2][at - 1] if k > 1 else hashes[at]) >> np.uint64(20)) % np.uint64(parts)
+                by = np.argsort(part, kind="stable")
+                at, n, part = at[by], n[by], part[by]
+                edge = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]])
+                blocks = [pack_block([hashes[at[s:e] - j] for j in range(k - 1, -1, -1)], n[s:e]) for s, e in zip(edge[:-1], edge[1:], strict=True)]
+                yield pa.record_batch([pa.array(np.full(len(blocks), k, np.int32)), pa.array(part[edge[:-1]].astype(np.int32)), pa.array(blocks, pa.binary())], names=["k", "part", "block"])
+
+    def merge(key: tuple, table: pa.Table) -> pa.Table:
+        k = key[0].as_py()
+        got = [unpack_block(b.as_py(), k) for b in table.column("block")]
+        *own, n = (np.concatenate(x) for x in zip(*got, strict=True))
+        del got
+        last, context = own[-1], _hash_of(own[:-1]) if k > 1 else np.zeros_like(own[0])
+        suffix = _hash_of(own[1:]) if k > 1 else np.zeros_like(last)
+        del own
+        by = np.lexsort((last, context))
+        context, suffix, last, n = context[by], suffix[by], last[by], n[by]
+        new = np.concatenate([[True], (context[1:] != context[:-1]) | (last[1:] != last[:-1])])
+        cut = np.flatnonzero(new)
+        context, suffix, last, n = context[cut], suffix[cut], last[cut], np.add.reduceat(n, cut)
+        head = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
+        of = np.cumsum(np.concatenate([[True], context[1:] != context[:-1]])) - 1
+        total, kinds = np.add.reduceat(n, head)[of], np.diff(np.append(head, len(n)))[of]
+        take = np.flatnonzero((n >= least_count) | (k == 1))
+        columns = [joined(context, last), context, suffix]
+        return pa.table([pa.array(np.full(len(take), k, np.int32)), *(pa.array(c[take].view(np.int64)) for c in columns), *(pa.array(c[take].astype(np.int64)) for c in (n, total, kinds))], names=["k", "gram", "context", "suffix", "n", "total", "kinds"])
+
+    blocks = docs.select("text").mapInArrow(count, "k int, part int, block binary")
+    return blocks.groupBy("k", "part").applyInArrow(merge, "k int, gram long, context long, suffix long, n long, total long, kinds long")
+
+
+def model_of(docs: DataFrame, scratch: Scratch, order: int = ORDER, least_count: int = LEAST_COUNT, shard: int = SHARD, words: int = WORDS) -> list[tuple[list, list]]:
+    """For each order from 1 the shards of the kept n-grams' probabilities, and of their backoffs as contexts.
+
+    All words are kept. Probabilities are interpolated with those of the next
+    lower order, and at the bottom with the uniform one over the vocabulary.
+    """
+    every = scratch.table(kept(docs, order, least_count, words), "kept")
+    one = every.where("k = 1")
+    size = one.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("words"), F.count("*").alias("vocabulary"))
+    # interpolated with the uniform one: kinds / vocabulary is 1
+    p = one.select("gram", "n").crossJoin(F.broadcast(size)).select("gram", ((F.col("n") + 1) / (F.col("words") + F.col("vocabulary"))).alias("weight"))
+    model = [(_shards(scratch.table(p, "p1"), shard), [])]
+    for k in range(2, order + 1):
+        mixed = _mixed(every.where(F.col("k") == k), model[-1][0])
+        sums = mixed.groupBy("context").agg(F.sum("p").alias("sp"), F.sum("q").alias("sq"))
+        rest = F.greatest(1 - F.col("sp"), F.lit(1e-9)) / F.greatest(1 - F.col("sq"), F.lit(1e-9))
+        backoff = scratch.table(sums.select(F.col("context").alias("gram"), F.log(rest).alias("weight")), f"backoff{k - 1}")
+        model[-1] = (model[-1][0], _shards(backoff, shard))
+        model.append((_shards(scratch.table(mixed.select("gram", F.col("p").alias("weight")), f"p{k}"), shard), []))
+    return model
+
+
+def _mixed(rows: DataFrame, lower: list) -> DataFrame:
+    """(gram, context, p, q): probabilities of the n-grams, and q those of their suffixes.
+
+    A suffix occurs at least as often as its n-gram, so it is kept too.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches([b for b in batches if b.num_rows] or [], schema)
+        for at in range(0, t.num_rows, WORDS):
+            part = t.slice(at, WORDS)
+            (q,) = _looked_up(np.asarray(part["suffix"]), [lower])
+            n, total, kinds = (np.asarray(part[c]) for c in ("n", "total", "kinds"))
+            p = (n + kinds * q) / (total + kinds)
+            yield from pa.table([part["gram"], part["context"], pa.array(p), pa.array(q)], names=["gram", "context", "p", "q"]).to_batches()
+
+    names = ["gram", "context", "suffix", "n", "total", "kinds"]
+    schema = pa.schema([(c, pa.int64()) for c in names])
+    return rows.select(*names).mapInArrow(run, "gram long, context long, p double, q double")
+
+
+def _shards(table: DataFrame, shard: int) -> list:
+    """Broadcasts of (sorted n-grams, weights), in the order of the n-grams."""
+    parts = -(-table.count() // shard)
+    which = F.least(F.floor((F.col("gram").cast("double") / 2.0**64 + 0.5) * parts), F.lit(max(0, parts - 1)))
+    out = []
+    for s in range(parts):
+        t = table.where(which == s).toArrow()
+        g, w = np.asarray(t["gram"]).astype(np.int64), np.asarray(t["weight"]).astype(np.float64)
+        by = np.argsort(g)
+        out.append(table.sparkSession.sparkContext.broadcast((g[by], w[by])))
+    return out
+
+
+def _looked_up(gram: np.ndarray, tables: list[list]) -> list[np.ndarray]:
+    """For each table the weight of each n-gram, NaN where it isn't there."""
+    by = np.argsort(gram)
+    ordered = gram[by]
+    out = []
+    for shards in tables:
+        found = np.full(len(gram), np.nan)
+        for b in shards:
+            g, w = b.value
+            if len(g):
+                s, e = np.searchsorted(ordered, g[0]), np.searchsorted(ordered, g[-1], side="right")
+                at = np.searchsorted(g, ordered[s:e])
+                found[s:e] = np.where(g[at] == ordered[s:e], w[at], np.nan)
+            # a worker holds one shard at a time
+            del g, w
+            b.__dict__.pop("_value", None)
+        back = np.empty_like(found)
+        back[by] = found
+        out.append(back)
+    return out
+
+
+def word_weights(hashes: np.ndarray, place: np.ndarray, model: list[tuple[list, list]]) -> np.ndarray:
+    """The log-probability of each word after those before it in its text."""
+    total = np.zeros(len(hashes))
+    backed = np.zeros(len(hashes))
+    looked = [_looked_up(g.view(np.int64), list(tables)) for g, tables in zip(grams(hashes, place, len(model)), model, strict=True)]
+    open_ = np.ones(len(hashes), dtype=bool)
+    for k in range(len(model) - 1, -1, -1):
+        p = looked[k][0]
+        hit = open_ & (place >= k) & ~np.isnan(p)
+        total[hit] = np.log(p[hit]) + backed[hit]
+        open_ &= ~hit
+        if k:
+            # the context of k words, which ends at the word before
+            fall = np.concatenate([[0.0], np.nan_to_num(looked[k - 1][1])[:-1]])
+            on = open_ & (place >= k)
+            backed[on] += fall[on]
+    return total
+
+
+def score(docs: DataFrame, order: int = ORDER, least_count: int = LEAST_COUNT, shard: int = SHARD, words: int = WORDS) -> DataFrame:
+    """Log-probability of every document under the word model of all documents.
+
+    Returns (doc_id, n_words, log_probability, perplexity): natural logarithm, and
+    perplexity per word. A text without a word (null, empty, only punctuation)
+    has log-probability 0 and a null perplexity. Repeated rows are counted and
+    scored as often as they stand there; a null doc_id is kept; other columns
+    are ignored.
+    """
+    scratch = Scratch(docs.sparkSession, "wordlm")
+    model = model_of(docs, scratch, order, least_count, shard, words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for hashes, counts, held in _groups(batches, 2 * words):
+            weight = word_weights(hashes, _place(counts), model)
+            total = np.bincount(np.repeat(np.arange(len(counts)), counts), weights=weight, minlength=len(counts))
+            at = 0
+            for batch in held:
+                end = at + batch.num_rows
+                yield pa.record_batch([batch.column("doc_id"), pa.array(counts[at:end]), pa.array(total[at:end])], names=["doc_id", "n_words", "log_probability"])
+                at = end
+
+    kind = dict(docs.dtypes)["doc_id"]
+    scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words long, log_probability double")
+    scratch.drop()
+    return scored.withColumn("perplexity", F.when(F.col("n_words") > 0, F.exp(-F.col("log_probability") / F.col("n_words"))))

@@ -1,0 +1,58 @@
+"""The word model of op8 against its definition, in one shard and in many."""
+
+import math
+import random
+from collections import Counter, defaultdict
+
+import pytest
+
+from quillon.llm import queries, word_lm
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_word_lm_equals_definition(spark):
+    rng = random.Random(6)
+    vocabulary = ["the", "of", "cat", "dog", "ran", "7", "été", "ete", "a", "to", "mat", "sat"]
+    rows = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(40)))) for i in range(40)] + [(90, None), (91, "!? "), (None, "The cat."), (92, "the cat ran " * 50), (92, "the cat ran " * 50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = [(t or "").lower().replace(".", "").replace("!?", "").split() for _, t in rows]
+    counts = [Counter(tuple(t[i : i + k]) for t in texts for i in range(len(t) - k + 1)) for k in (1, 2, 3)]
+    p = [{g: (n + 1) / (sum(counts[0].values()) + len(counts[0])) for g, n in counts[0].items()}]
+    backoff = {}
+    for k in (1, 2):
+        total, kinds = defaultdict(int), defaultdict(int)
+        for g, n in counts[k].items():
+            total[g[:-1]] += n
+            kinds[g[:-1]] += 1
+        p.append({g: (n + kinds[g[:-1]] * p[k - 1][g[1:]]) / (total[g[:-1]] + kinds[g[:-1]]) for g, n in counts[k].items() if n >= 2})
+        for c in {g[:-1] for g in p[k]}:
+            own = [g for g in p[k] if g[:-1] == c]
+            backoff[c] = math.log(max(1 - sum(p[k][g] for g in own), 1e-9) / max(1 - sum(p[k - 1][g[1:]] for g in own), 1e-9))
+
+    def of(t):
+        out = 0.0
+        for i in range(len(t)):
+            for k in range(min(i, 2), -1, -1):
+                g = tuple(t[i - k : i + 1])
+                if g in p[k]:
+                    out += math.log(p[k][g])
+                    break
+                out += backoff.get(g[:-1], 0.0)
+        return out
+
+    want = sorted((repr(i), len(t), of(t)) for (i, _), t in zip(rows, texts, strict=True))
+    for sizes in ({}, {"shard": 3, "words": 20}):
+        got = sorted((repr(r.doc_id), r.n_words, r.log_probability) for r in word_lm.score(docs, **sizes).collect())
+        assert [g[:2] for g in got] == [w[:2] for w in want]
+        assert [g[2] for g in got] == pytest.approx([w[2] for w in want], rel=1e-4, abs=1e-4)
+    assert word_lm.score(docs.where("false")).count() == 0
+
+
+def test_op8_gathers_words(spark):
+    """Accented letters are told apart, and what is gathered grows with new words."""
+    few = spark.createDataFrame([(1, "été ete " * 5)], "doc_id long, text string")
+    more = few.unionByName(spark.createDataFrame([(i, f"x{i} y{i} z{i} x{i} y{i} z{i}") for i in range(100)], few.schema))
+    n = [{r.k: r["count"] for r in word_lm.kept(d).groupBy("k").count().collect()} for d in (few, more)]
+    assert n[0] == {1: 2, 2: 2, 3: 2} and n[1] == {1: 302, 2: 202, 3: 102}
+    assert "n_words" in queries.op8_lm_score(spark, SF).columns
