@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.distance import EPSILON, pairwise
@@ -140,6 +140,48 @@ def search(assigned: DataFrame, centroids: DataFrame, query: list[float], k: int
     return knn(assigned.where(F.col("cluster").isin(probed(centroids, query, nprobe, metric))), query, k, metric, predicate, include_payload)
 
 
+def _nearest_within(metric: Metric, k: int):
+    def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
+        if queries.num_rows and rows.num_rows:
+            v, ids = _vectors(rows["vector"].combine_chunks()), np.asarray(rows["id"])
+            q, qid = _vectors(queries["vector"].combine_chunks()), np.asarray(queries["query_id"])
+            for i in range(len(q)):
+                d = pairwise(metric, v, q[i])
+                near = np.lexsort((ids, d))[:k]
+                for column, got in zip(out, (np.full(len(near), qid[i]), ids[near], d[near]), strict=True):
+                    column.append(got)
+        return pa.table([pa.array(np.concatenate(c)) for c in out], names=["query_id", "id", "score"])
+
+    return run
+
+
+def search_batch(assigned: DataFrame, centroids: DataFrame, queries: DataFrame, k: int, nprobe: int, metric: Metric | str = Metric.L2) -> DataFrame:
+    """(query_id, id, score, rank): for every query (id, vector) the k nearest within its nprobe nearest clusters.
+
+    Queries meet the rows of a cluster in one place, which must hold the cluster
+    and the queries that probe it: nlist grows with the rows. Null vectors are left out.
+    """
+    metric = Metric.parse(metric)
+    matrix = assigned.sparkSession.sparkContext.broadcast(_matrix(centroids))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = matrix.value
+        for batch in batches:
+            if not batch.num_rows or not len(m):
+                continue
+            near = [np.lexsort((np.arange(len(m)), pairwise(metric, m, q)))[:nprobe] for q in _vectors(batch.column("vector"))]
+            take = pa.array(np.repeat(np.arange(batch.num_rows), min(nprobe, len(m))))
+            yield pa.record_batch([batch.column("query_id").take(take), batch.column("vector").take(take), pa.array(np.concatenate(near).astype(np.int32))], names=["query_id", "vector", "cluster"])
+
+    asked = queries.where("vector is not null and id is not null").select(F.col("id").cast("long").alias("query_id"), "vector")
+    probes = asked.mapInArrow(run, f"query_id long, vector {dict(asked.dtypes)['vector']}, cluster int")
+    rows = assigned.where("id is not null").select(F.col("id").cast("long"), "vector", "cluster")
+    near = probes.groupBy("cluster").cogroup(rows.groupBy("cluster")).applyInArrow(_nearest_within(metric, k), "query_id long, id long, score double")
+    w = Window.partitionBy("query_id").orderBy("score", "id")
+    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def sq8_fit(rows: DataFrame) -> DataFrame:
     """One row (low, scale): arrays with the least value of each dimension and a 255th of its range (1 if it is 0)."""
 

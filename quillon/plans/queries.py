@@ -26,6 +26,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 #: 2024-02-01, and the time that document ids count back from by days.
 AS_OF, EPOCH = 1706745600, 1706745600
 NLIST, NPROBE, K, TOP = 16, 4, 10, 200
+#: Of NLIST trained clusters, those that the search for every row probes: recall of at least 0.9 against knn_batch.
+BATCH_NPROBE = 12
 WORDS = "the thtion idiot de"
 
 _QUERIES: dict[str, Query] = {}
@@ -280,6 +282,14 @@ def ivf_full_probe(spark: SparkSession, sf: str) -> DataFrame:
     return _scored(ivf.search(assigned, centroids, _probe(spark, sf), K, NLIST))
 
 
+@_query()
+def ivf_batch_search(spark: SparkSession, sf: str) -> DataFrame:
+    """(query_id, id, score, rank): every row as a query, over trained centroids."""
+    rows = _rows(spark, sf)
+    centroids = ivf.kmeans(rows, NLIST)
+    return _scored(ivf.search_batch(ivf.assign(rows, centroids), centroids, rows, K, BATCH_NPROBE))
+
+
 @_query()
 def ivf_kmeans(spark: SparkSession, sf: str) -> DataFrame:
     """(cluster, n): sizes of the clusters that k-means finds."""
