@@ -81,10 +81,18 @@ class Automaton:
             p = link[p]
         return new
 
-    def longest(self, words: list[int]) -> tuple[list[int], list[int]]:
-        """For each word, the length of the longest match that ends there, and its item's length."""
-        nxt, link, length = self.next, self.link, self.length
-        state, size, sizes, items = 0, 0, [], []
+    def covering(self, min_words: int, coverage: float) -> list[int]:
+        """For each state, the length of the longest of its suffix links' strings, its own first, that covers enough of an item; 0 if none does."""
+        out = [0] * len(self.next)
+        for s in sorted(range(1, len(self.next)), key=self.length.__getitem__):
+            n = self.length[s]
+            out[s] = n if n >= min_words and n >= coverage * self.item[s] else out[self.link[s]]
+        return out
+
+    def longest(self, words: list[int], covering: list[int], max_words: int, min_words: int, coverage: float) -> tuple[list[int], list[int]]:
+        """For each word, the length of the longest match that ends there, and of the longest that is to be removed."""
+        nxt, link, length, item = self.next, self.link, self.length, self.item
+        state, size, sizes, removed = 0, 0, [], []
         for c in words:
             to = nxt[state].get(c)
             while to is None and state:
@@ -96,20 +104,24 @@ class Automaton:
             else:
                 state, size = to, size + 1
             sizes.append(size)
-            items.append(self.item[state])
-        return sizes, items
+            if size >= max_words or (size >= min_words and size >= coverage * item[state]):
+                removed.append(size)
+            else:
+                # a shorter match may cover a shorter item that stands inside the longer one
+                removed.append(covering[link[state]] if state else 0)
+        return sizes, removed
 
 
-def _longest(automaton: Automaton, words: _text.Words, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """The longest matches at all words of a batch, where they reach least (else 0).
+def _longest(automaton: Automaton, covering: list[int], words: _text.Words, max_words: int, min_words: int, coverage: float) -> tuple[np.ndarray, np.ndarray]:
+    """The longest matches at all words of a batch, where they reach the least length (else 0), and the longest to be removed.
 
-    Only stretches of at least ``least`` known words are walked: no shorter one
+    Only stretches of at least as many known words are walked: no shorter one
     can hold such a match.
     """
-    n = len(words.hashes)
-    sizes, items = np.zeros(n, dtype=np.int32), np.zeros(n, dtype=np.int32)
+    n, least = len(words.hashes), min(max_words, min_words)
+    sizes, removed = np.zeros(n, dtype=np.int32), np.zeros(n, dtype=np.int32)
     if not n or not len(automaton.vocabulary):
-        return sizes, items
+        return sizes, removed
     number = np.searchsorted(automaton.vocabulary, words.hashes)
     number[number == len(automaton.vocabulary)] = 0
     inside = np.concatenate([[False], automaton.vocabulary[number] == words.hashes, [False]])
@@ -119,29 +131,28 @@ def _longest(automaton: Automaton, words: _text.Words, least: int) -> tuple[np.n
     fall = np.flatnonzero(inside[1:-1] & (~inside[2:] | first[1:])) + 1
     long = fall - rise >= least
     for s, e in zip(rise[long].tolist(), fall[long].tolist(), strict=True):
-        got, item = automaton.longest(number[s:e].tolist())
+        got, out = automaton.longest(number[s:e].tolist(), covering, max_words, min_words, coverage)
         if max(got) >= least:
-            sizes[s:e], items[s:e] = got, item
+            sizes[s:e], removed[s:e] = got, out
     small = sizes < least
     sizes[small] = 0
-    return sizes, items
+    return sizes, removed
 
 
 _SCHEMA = pa.schema([("doc", pa.int64()), ("longest_match", pa.int32()), ("removed_words", pa.int32()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("clean", pa.large_string())])
 
 
-def clean_batch(column: pa.Array, automata: list[Automaton], max_words: int, min_words: int, coverage: float) -> pa.RecordBatch:
+def clean_batch(column: pa.Array, automata: list[tuple[Automaton, list[int]]], max_words: int, min_words: int, coverage: float) -> pa.RecordBatch:
     """Longest match, removed spans (in words) and what is left of each text."""
     w = _text.words(column)
     n, docs = len(w.hashes), len(w.first) - 1
-    least = min(max_words, min_words)
     best = np.zeros(n, dtype=np.int32)
     gone = np.zeros(n + 1, dtype=np.int32)
-    for automaton in automata:
-        sizes, items = _longest(automaton, w, least)
+    for automaton, covering in automata:
+        sizes, cut = _longest(automaton, covering, w, max_words, min_words, coverage)
         best = np.maximum(best, sizes)
-        out = np.flatnonzero((sizes >= max_words) | ((sizes >= min_words) & (sizes >= coverage * items)))
-        np.add.at(gone, out + 1 - sizes[out], 1)
+        out = np.flatnonzero(cut)
+        np.add.at(gone, out + 1 - cut[out], 1)
         np.add.at(gone, out + 1, -1)
     gone = np.cumsum(gone[:-1]) > 0
     longest = np.zeros(docs, dtype=np.int32)
@@ -203,7 +214,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, max_words: int = MAX_WO
     by itself, so repeated rows, ties and null ids need no rule.
     """
     spark = docs.sparkSession
-    automata = [spark.sparkContext.broadcast(a) for a in automata_of(benchmark, min_words)]
+    automata = [spark.sparkContext.broadcast((a, a.covering(min_words, coverage))) for a in automata_of(benchmark, min_words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = [a.value for a in automata]
