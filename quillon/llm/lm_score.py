@@ -1,25 +1,33 @@
-"""LM scoring by a weighted backoff automaton.
-
-Texts are sequences of 64 symbols: lower-case letters, a digit class, white
-space, punctuation classes, and classes of the bytes outside ASCII. n-grams of
-all orders are counted over all documents, smoothed (Witten-Bell,
-interpolated), and cut off by count. Every n-gram that is kept becomes a state;
-its arcs lead to the state of the longest suffix that is known and weigh the
-log-probability, its failure arc leads to the next shorter context and weighs
-the backoff. A text is scored in one traversal from left to right that carries
-the state.
-
-The number of states can't exceed the number of n-grams over 64 symbols, so it
-levels off as the corpus grows, while what is counted follows the corpus. A
-model whose automaton would exceed ``STATES`` isn't broadcast; its documents
-are then scored by joins of their n-grams with the same weights.
+"""LM scoring: a weighted backoff automaton over all words of the corpus.
+
+The symbols are the words of the corpus (see :mod:`._text`) and an end of text,
+so the vocabulary and the n-grams grow with the input; nothing is cut off. Every
+document is scored by the model of all *other* documents: its own occurrences
+are taken out of the counts first, so that a text is predicted, not recalled.
+
+With n' for counts so reduced, V words in the vocabulary and N in the corpus,
+the smoothed probabilities are those of a hierarchical Dirichlet prior::
+
+    p(w)     = (n'(w) + 1) / (N' + V)
+    p(w | c) = (n'(c w) + PRIOR * p(w | c less its first word)) / (n'(c) + PRIOR)
+
+Each context c is a state; an arc for every word that n' knows after c carries
+log p(w | c), and the failure arc to the state of c less its first word carries
+log(PRIOR / (n'(c) + PRIOR)), which makes the arcs of every state sum to 1. A
+text is traversed once from left to right: each word follows failure arcs until
+there is an arc for it, adds up their weights, and leaves the next state.
+
+The automaton of a whole corpus fits nowhere, so it is sharded by documents: a
+group of some MB of text needs only the n-grams that it holds. Groups send them
+as sorted blocks of hashes, one for each range of hashes; a range is merged in
+one place and answers every block with the counts in the whole corpus, in the
+block's own order. What moves is proportional to the text, a frequent n-gram
+once for each group, and nothing is broadcast.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,275 +37,193 @@ from pyspark.sql import functions as F
 from . import _text
 from ._shared import Scratch, pieces
 
-#: Order of the model; counts below which an n-gram of two symbols or more is dropped; states that are broadcast at most.
-ORDER, LEAST_COUNT, STATES = 5, 2, 300_000
-#: Symbols that a lane of the traversal reads, after ORDER - 1 that set its state.
-LANE = 2048
-SYMBOLS = 64
+#: Order of the model, weight of the shorter context's probability, and bytes of text in a group.
+ORDER, PRIOR, GROUP_BYTES = 3, 2.0, 12 << 20
+#: Stands for the end of a text.
+END = np.uint64(0x0123456789ABCDEF)
+_MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _table() -> np.ndarray:
-    t = np.full(256, 32, dtype=np.uint8)
-    t[[9, 10, 11, 12, 13, 32]] = 0
-    t[48:58] = 27
-    for i in range(26):
-        t[97 + i] = t[65 + i] = i + 1
-    for classes, c in ((".", 28), (",;:", 29), ("!?", 30), ("'\"-()", 31)):
-        for x in classes:
-            t[ord(x)] = c
-    for b in range(128, 256):
-        t[b] = 33 + (b * 7) % 31
-    return t
+def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, first of each text): the words' hashes, and END after those of a text that has any."""
+    w = _text.words(column)
+    n = np.diff(w.first)
+    some = n > 0
+    out = np.insert(w.hashes, w.first[1:][some], END)
+    return out, np.concatenate([[0], np.cumsum(n + some)])
 
 
-_SYMBOL = _table()
+def grams(symbols: np.ndarray, order: int) -> list[np.ndarray]:
+    """For each order from 1 the hash of the n-gram that ends at each symbol, whatever text it begins in."""
+    out = [_text.mix(symbols)]
+    for _ in range(1, order):
+        before = np.concatenate([np.zeros(min(1, len(symbols)), np.uint64), out[-1][:-1]])
+        out.append(_text.mix(before * _MUL + symbols))
+    return out
 
 
-def symbols(column: pa.Array, pad: int) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols of all texts, each after ``pad`` symbols 0; where each text's own symbols begin, and the end)."""
-    base, data = _text.lowered(column)
-    count = np.diff(base)
-    begin = base[:-1] + pad * np.arange(1, len(base))
-    out = np.zeros(len(data) + pad * len(count), dtype=np.uint8)
-    shift = np.repeat(pad * np.arange(1, len(base)), count)
-    out[np.arange(len(data)) + shift] = _SYMBOL[data]
-    return out, np.append(begin, len(out) + pad)
+def _place(first: np.ndarray) -> np.ndarray:
+    return np.arange(int(first[-1])) - np.repeat(first[:-1], np.diff(first))
 
 
-def codes(column: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """(n-gram code that ends at each symbol, the text of each symbol)."""
-    sym, begin = symbols(column, order - 1)
-    count = np.diff(begin) - (order - 1)
-    doc = np.repeat(np.arange(len(count)), count)
-    at = np.arange(int(count.sum())) + np.repeat((order - 1) * np.arange(1, len(count) + 1), count)
-    code = np.zeros(len(at), dtype=np.uint64 if order > 5 else np.uint32)
-    for j in range(order):
-        code = (code << code.dtype.type(6)) | sym[at - (order - 1) + j]
-    return code, doc
+def packed(x: np.ndarray) -> bytes:
+    """The bytes by significance, which compresses better."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(len(x), 8).T).tobytes()
 
 
-def _runs(sorted_codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    cut = np.flatnonzero(np.concatenate([[True], sorted_codes[1:] != sorted_codes[:-1]]))
-    return sorted_codes[cut], np.diff(np.append(cut, len(sorted_codes)))
+def unpacked(raw: bytes | memoryview) -> np.ndarray:
+    """Undoes :func:`packed`."""
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
 
-def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    c, n = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    order = np.argsort(c, kind="stable")
-    c, n = c[order], n[order]
-    cut = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-    return c[cut], np.add.reduceat(n, cut)
+def _counting(order: int, parts: int):
+    """The n-grams of a group: (grp, k, part, grams, counts), sorted, with the differences of the hashes."""
 
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        symbols, first = tokens(table.column("text"))
+        place, rows = _place(first), []
+        for k, g in enumerate(grams(symbols, order), 1):
+            known, n = np.unique(g[place >= k - 1], return_counts=True)
+            part = ((known >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+            edge = np.searchsorted(part, np.arange(parts + 1))
+            for p in np.flatnonzero(np.diff(edge)).tolist():
+                own = slice(edge[p], edge[p + 1])
+                rows.append((k, p, packed(np.diff(known[own], prepend=np.uint64(0))), packed(n[own])))
+        columns = list(zip(*rows, strict=True)) or [[]] * 4
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        return pa.table([pa.array([key[0].as_py()] * len(rows), pa.int64()), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["grp", "k", "part", "grams", "counts"])
 
-def counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """(gram, n): counts of all n-grams of the order, over all documents."""
+    return run
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size = [], 0
-        for batch in pieces(batches, "text"):
-            code, _ = codes(batch.column("text"), order)
-            if not len(code):
-                continue
-            parts.append(_runs(np.sort(code)))
-            size += len(parts[-1][0])
-            if size > 2_000_000:
-                parts = [_merged(parts)]
-                size = len(parts[0][0])
-                if size > 1_000_000:
-                    yield pa.record_batch([pa.array(parts[0][0].astype(np.int64)), pa.array(parts[0][1])], names=["gram", "n"])
-                    parts, size = [], 0
-        if parts:
-            c, n = _merged(parts)
-            for at in range(0, len(c), 200_000):
-                yield pa.record_batch([pa.array(c[at : at + 200_000].astype(np.int64)), pa.array(n[at : at + 200_000])], names=["gram", "n"])
-
-    return docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def weights(grams: DataFrame, scratch: Scratch, order: int = ORDER, least_count: int = LEAST_COUNT) -> list[tuple[DataFrame, DataFrame | None]]:
-    """For each order from 1: (gram, logp) of the kept n-grams, and (gram, backoff) of them as contexts.
-
-    All 64 single symbols are kept. Probabilities are interpolated with those of
-    the next lower order, and at the bottom with the uniform one; the backoff of
-    a context makes its kept and its other symbols sum to one.
-    """
-    spark = grams.sparkSession
-    by_order = {order: grams}
-    for k in range(order - 1, 0, -1):
-        by_order[k] = scratch.table(by_order[k + 1].groupBy(F.col("gram").bitwiseAND((1 << (6 * k)) - 1).alias("gram")).agg(F.sum("n").alias("n")), f"count{k}")
-    out: list[tuple[DataFrame, DataFrame | None]] = []
-    every = spark.range(SYMBOLS).select(F.col("id").alias("gram"))
-    total = by_order[1].agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("kinds"))
-    p = (F.coalesce("n", F.lit(0)) + F.greatest("kinds", F.lit(1)) / SYMBOLS) / (F.col("total") + F.greatest("kinds", F.lit(1)))
-    full = scratch.table(every.join(by_order[1], "gram", "left").crossJoin(F.broadcast(total)).select("gram", p.alias("p")), "p1")
-    kept = full
-    out.append((kept.select("gram", F.log("p").alias("logp")), None))
-    for k in range(2, order + 1):
-        context = F.shiftright("gram", 6)
-        seen = by_order[k].withColumn("context", context)
-        sums = seen.groupBy("context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-        lower = full.select(F.col("gram").alias("suffix"), F.col("p").alias("q"))
-        joined = seen.join(sums, "context").join(lower, F.col("gram").bitwiseAND((1 << (6 * (k - 1))) - 1) == F.col("suffix"))
-        full = scratch.table(joined.select("gram", "context", "n", ((F.col("n") + F.col("kinds") * F.col("q")) / (F.col("total") + F.col("kinds"))).alias("p"), "q"), f"p{k}")
-        kept = full.where(F.col("n") >= least_count)
-        backoff = kept.groupBy("context").agg(F.sum("p").alias("sp"), F.sum("q").alias("sq"))
-        # what the kept symbols leave; where they leave nothing, next to nothing
-        rest = F.greatest(1 - F.col("sp"), F.lit(1e-9)) / F.greatest(1 - F.col("sq"), F.lit(1e-9))
-        out[-1] = (out[-1][0], backoff.select(F.col("context").alias("gram"), F.log(rest).alias("backoff")))
-        out.append((kept.select("gram", F.log("p").alias("logp")), None))
-    return out
 
+def _merged(key: tuple, table: pa.Table) -> pa.Table:
+    """Answers the blocks of a range: (grp, k, part, counts), the counts in the whole corpus, in the blocks' order."""
+    own = [np.cumsum(unpacked(b.as_buffer()), dtype=np.uint64) for b in table.column("grams")]
+    known, at = np.unique(np.concatenate(own), return_inverse=True)
+    total = np.zeros(len(known), dtype=np.int64)
+    np.add.at(total, at, np.concatenate([unpacked(b.as_buffer()) for b in table.column("counts")]).astype(np.int64))
+    ends = np.cumsum([len(x) for x in own])
+    answers = [packed(total[a]) for a in np.split(at, ends[:-1])]
+    return pa.table([table.column("grp"), table.column("k"), table.column("part"), pa.array(answers, pa.binary())], names=["grp", "k", "part", "counts"])
 
-@dataclass
-class Automaton:
-    """For each order the sorted n-grams, their weights, and the backoff of the n-gram as a context."""
-
-    grams: list[np.ndarray]
-    logp: list[np.ndarray]
-    backoff: list[np.ndarray]
-    key: str
-
-    def resolved(self) -> tuple[np.ndarray, np.ndarray]:
-        """(to, weight) of each state and symbol, with the failure arcs followed once and for all.
-
-        State 0 has no context; then come the contexts by length. A state's row
-        is its failure state's row, the backoff added, with its own arcs over it.
-        """
-        order = len(self.grams)
-        first = np.cumsum([0, 1, *(len(g) for g in self.grams[: order - 1])])
-        to = np.zeros((first[-1], SYMBOLS), dtype=np.int32)
-        weight = np.zeros((first[-1], SYMBOLS), dtype=np.float32)
-        for k in range(order):
-            rows = np.arange(first[k], first[k + 1])
-            if k:
-                own = self.grams[k - 1]
-                suffix = own & np.int64((1 << (6 * (k - 1))) - 1)
-                fail = first[k - 1] + (np.searchsorted(self.grams[k - 2], suffix) if k > 1 else 0)
-                to[rows] = to[fail]
-                weight[rows] = weight[fail] + self.backoff[k - 1][:, None].astype(np.float32)
-            arcs = self.grams[k]
-            if not len(arcs):
-                continue
-            state = first[k] + (np.searchsorted(self.grams[k - 1], arcs >> np.int64(6)) if k else np.zeros(len(arcs), dtype=np.int64))
-            symbol = arcs & np.int64(63)
-            own_weight = ~np.isnan(self.logp[k])
-            weight[state[own_weight], symbol[own_weight]] = self.logp[k][own_weight]
-            if k + 1 < order:
-                to[state, symbol] = first[k + 1] + np.arange(len(arcs))
-        return to, weight
-
-
-_HELD: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def automaton_of(model: list[tuple[DataFrame, DataFrame | None]]) -> Automaton:
-    """The model on the driver, to be broadcast."""
-    grams, logps, backoffs = [], [], []
-    for logp, backoff in model:
-        t = logp.toArrow()
-        g, w = np.asarray(t["gram"]).astype(np.int64), np.asarray(t["logp"]).astype(np.float32)
-        o = np.argsort(g)
-        g, w = g[o], w[o]
-        b = np.zeros(len(g), dtype=np.float32)
-        if backoff is not None:
-            t = backoff.toArrow()
-            context = np.asarray(t["gram"]).astype(np.int64)
-            # a context made of padding alone ends no n-gram: a state, but without a weight of its own
-            every = np.union1d(g, context)
-            known, b = np.full(len(every), np.nan, dtype=np.float32), np.zeros(len(every), dtype=np.float32)
-            known[np.searchsorted(every, g)] = w
-            b[np.searchsorted(every, context)] = np.asarray(t["backoff"])
-            g, w = every, known
-        grams.append(g)
-        logps.append(w)
-        backoffs.append(b)
-    return Automaton(grams, logps, backoffs, uuid.uuid4().hex)
-
-
-def traverse(column: pa.Array, to: np.ndarray, weight: np.ndarray, order: int, lane: int = LANE) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, log-probability) of each text.
-
-    A long text is read in lanes side by side. The state depends on the last
-    ``order - 1`` symbols only, so a lane that first reads these is in the state
-    that one traversal from the text's start would have there.
-    """
-    warm = order - 1
-    sym, begin = symbols(column, warm)
-    count = np.diff(begin) - warm
-    lanes = -(-count // lane)
-    doc = np.repeat(np.arange(len(count)), lanes)
-    within = np.arange(int(lanes.sum())) - np.repeat(np.cumsum(lanes) - lanes, lanes)
-    start = begin[doc] + within * lane - warm
-    length = np.minimum(lane, count[doc] - within * lane) + warm
-    by = np.argsort(-length, kind="stable")
-    start, length = start[by], length[by]
-    state = np.zeros(len(by), dtype=np.int32)
-    total = np.zeros(len(by))
-    flat_to, flat_weight = to.ravel(), weight.ravel()
-    active = np.searchsorted(-length, -np.arange(int(length[0]) if len(length) else 0), side="left")
-    for t, m in enumerate(active.tolist()):
-        arc = state[:m] * np.int32(SYMBOLS) + sym[start[:m] + t]
-        if t >= warm:
-            total[:m] += flat_weight[arc]
-        state[:m] = flat_to[arc]
-    return count, np.bincount(doc[by], weights=total, minlength=len(count)) if len(by) else np.zeros(len(count))
-
-
-def score(docs: DataFrame, order: int = ORDER, least_count: int = LEAST_COUNT, states: int = STATES) -> DataFrame:
-    """Log-probability of every document under the model of all documents.
-
-    Returns (doc_id, n_symbols, log_probability, perplexity): natural logarithm,
-    and perplexity per symbol (a byte of the lower-cased text). A null or empty
-    text has no symbol, log-probability 0 and a null perplexity. Repeated rows
-    are counted and scored as often as they stand there; a null doc_id is kept;
-    other columns are ignored.
+
+def _own_counts(gram: np.ndarray, doc: np.ndarray, kinds: int) -> np.ndarray:
+    """How often the document of each occurrence has its n-gram."""
+    _, at, n = np.unique(doc * max(1, kinds) + gram, return_inverse=True, return_counts=True)
+    return n[at]
+
+
+def traversed(rest: list[np.ndarray], place: np.ndarray, p: np.ndarray, prior: float) -> np.ndarray:
+    """The weight that each symbol adds on its way through the automaton.
+
+    rest: for each order the n' of the n-gram that ends at each symbol; p: the
+    probabilities of the symbols by themselves.
     """
-    scratch = Scratch(docs.sparkSession, "lm")
-    model = weights(scratch.table(counts(docs, order), "counts"), scratch, order, least_count)
-    n_states = 1 + sum(logp.count() for logp, _ in model[:-1])
-    if n_states > states:
-        return score_by_joins(docs, model, order)
-    shared = docs.sparkSession.sparkContext.broadcast(automaton_of(model))
+    arcs, falls = [np.log(p)], [np.zeros(len(p))]
+    for k in range(1, len(rest)):
+        context = np.concatenate([np.zeros(min(1, len(p))), rest[k - 1][:-1]])
+        p = (rest[k] + prior * p) / (context + prior)
+        arcs.append(np.log(p))
+        falls.append(np.log(prior / (context + prior)))
+    total, waiting = np.zeros(len(p)), np.ones(len(p), dtype=bool)
+    for k in range(len(rest) - 1, -1, -1):
+        here = waiting & (place >= k)
+        found = here & ((rest[k] > 0) | (k == 0))
+        total[found] += arcs[k][found]
+        waiting &= ~found
+        failed = here & ~found
+        total[failed] += falls[k][failed]
+    return total
+
+
+def _scoring(order: int, prior: float, words: int, vocabulary: int):
+    def run(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
+        symbols, first = tokens(texts.column("text"))
+        place, size = _place(first), np.diff(first)
+        doc = np.repeat(np.arange(len(size)), size)
+        ks, parts = (np.asarray(answers.column(c)) for c in ("k", "part"))
+        rest = []
+        for k, g in enumerate(grams(symbols, order), 1):
+            at = place >= k - 1
+            known, gram = np.unique(g[at], return_inverse=True)
+            mine = np.flatnonzero(ks == k)
+            counts = [unpacked(answers.column("counts")[int(i)].as_buffer()) for i in mine[np.argsort(parts[mine])]]
+            total = np.concatenate([np.zeros(0, np.uint64), *counts]).astype(np.float64)
+            left = np.zeros(len(symbols))
+            left[at] = total[gram] - _own_counts(gram, doc[at], len(known))
+            rest.append(left)
+        p = (rest[0] + 1) / (words - size[doc] + vocabulary)
+        weight = np.bincount(doc, weights=traversed(rest, place, p, prior), minlength=len(size))
+        return pa.table([texts.column("doc_id"), pa.array(np.maximum(size - 1, 0)), pa.array(weight)], names=["doc_id", "n_words", "log_probability"])
+
+    return run
+
+
+def vocabulary_of(docs: DataFrame) -> DataFrame:
+    """(symbol, n) of all texts, counted within tasks first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = shared.value
-        if a.key not in _HELD:
-            _HELD.clear()
-            _HELD[a.key] = a.resolved()
-        to, weight = _HELD[a.key]
+        held: list[np.ndarray] = []
+        size = 0
         for batch in pieces(batches, "text"):
-            n, total = traverse(batch.column("text"), to, weight, order)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(n), pa.array(total)], names=["doc_id", "n_symbols", "log_probability"])
+            held.append(tokens(batch.column("text"))[0])
+            size += len(held[-1])
+            if size > 1_000_000:
+                yield _counted(held)
+                held, size = [], 0
+        if size:
+            yield _counted(held)
 
-    kind = dict(docs.dtypes)["doc_id"]
-    scored = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_symbols long, log_probability double")
-    scratch.drop()
-    return scored.withColumn("perplexity", F.when(F.col("n_symbols") > 0, F.exp(-F.col("log_probability") / F.col("n_symbols"))))
+    return docs.select("text").mapInArrow(run, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n"))
 
 
-def score_by_joins(docs: DataFrame, model: list[tuple[DataFrame, DataFrame | None]], order: int) -> DataFrame:
-    """The same scores without a broadcast: the failure arcs become left joins, order by order."""
-    kind = dict(docs.dtypes)["doc_id"]
-    scratch = Scratch(docs.sparkSession, "lmrows")
-    rows = scratch.table(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "rows")
+def _counted(symbols: list[np.ndarray]) -> pa.RecordBatch:
+    known, n = np.unique(np.concatenate(symbols), return_counts=True)
+    return pa.record_batch([pa.array(known.view(np.int64)), pa.array(n)], names=["symbol", "n"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, "text"):
-            code, doc = codes(batch.column("text"), order)
-            by = np.lexsort((code, doc))
-            code, doc = code[by], doc[by]
-            cut = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (doc[1:] != doc[:-1])])) if len(code) else np.zeros(0, np.int64)
-            yield pa.record_batch([batch.column("row").take(pa.array(doc[cut])), pa.array(code[cut].astype(np.int64)), pa.array(np.diff(np.append(cut, len(code))) if len(cut) else np.zeros(0, np.int64))], names=["row", "gram", "n"])
-
-    grams = rows.select("row", "text").mapInArrow(run, "row long, gram long, n long").withColumns({"w": F.lit(0.0), "open": F.lit(True)})
-    for k in range(order, 0, -1):
-        logp = model[k - 1][0].select(F.col("gram").alias("g"), "logp")
-        grams = grams.join(logp, F.col("open") & (F.col("gram").bitwiseAND((1 << (6 * k)) - 1) == F.col("g")), "left")
-        grams = grams.select("row", "gram", "n", (F.col("w") + F.coalesce("logp", F.lit(0.0))).alias("w"), (F.col("open") & F.col("g").isNull()).alias("open"))
-        if k > 1:
-            backoff = model[k - 2][1].select(F.col("gram").alias("g"), "backoff")
-            context = F.shiftright(F.col("gram").bitwiseAND((1 << (6 * k)) - 1), 6)
-            grams = grams.join(backoff, F.col("open") & (context == F.col("g")), "left").select("row", "gram", "n", (F.col("w") + F.coalesce("backoff", F.lit(0.0))).alias("w"), "open")
-    sums = grams.groupBy("row").agg(F.sum("n").alias("n_symbols"), F.sum(F.col("n") * F.col("w")).alias("log_probability"))
-    out = rows.select("row", F.col("doc_id").cast(kind)).join(sums, "row", "left").select("doc_id", F.coalesce("n_symbols", F.lit(0)).alias("n_symbols"), F.coalesce("log_probability", F.lit(0.0)).alias("log_probability"))
-    return out.withColumn("perplexity", F.when(F.col("n_symbols") > 0, F.exp(-F.col("log_probability") / F.col("n_symbols"))))
+
+def score(docs: DataFrame, order: int = ORDER, prior: float = PRIOR, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """Log-probability of every document under the word model of all other documents.
+
+    Returns (doc_id, n_words, log_probability, perplexity): natural logarithm of
+    the words and the end of the text, and perplexity per symbol of these. A text
+    without a word (null, empty, only punctuation) has log-probability 0 and a
+    null perplexity, and isn't part of the model. Rows are documents: repeated
+    ones are counted and scored as often as they stand there, and know each
+    other. Texts of any length are scored whole, equal texts alike. A null doc_id
+    is kept; other columns, whatever their names, play no part; an empty table
+    gives no rows.
+    """
+    rows = docs.select("doc_id", "text")
+    scratch = Scratch(docs.sparkSession, "lm")
+    size = scratch.table(vocabulary_of(rows), "words").agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()["bytes"]
+    scratch.drop()
+    groups, parts = total // group_bytes + 1, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blank = F.coalesce("text", F.lit("")) == ""
+    # both uses are the same exchange: the texts move once
+    grouped = rows.where(~blank).withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)))
+    blocks = grouped.groupBy("grp").applyInArrow(_counting(order, parts), "grp long, k int, part int, grams binary, counts binary")
+    answers = blocks.groupBy("k", "part").applyInArrow(_merged, "grp long, k int, part int, counts binary")
+    kind = dict(rows.dtypes)["doc_id"]
+    scored = grouped.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(_scoring(order, prior, size["n"], size["v"]), f"doc_id {kind}, n_words long, log_probability double")
+    none = rows.where(blank).select("doc_id", F.lit(0).cast("long").alias("n_words"), F.lit(0.0).alias("log_probability"))
+    return scored.unionByName(none).withColumn("perplexity", F.when(F.col("n_words") > 0, F.exp(-F.col("log_probability") / (F.col("n_words") + 1))))
+
+
+#: What the query gives for documents, as SQL; a word is a run of what _text.separators doesn't name.
+SQL = f"""
+WITH w AS (SELECT doc_id, row_number() OVER () AS rid, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\\x{{AA}}\\x{{B5}}\\x{{BA}}\\x{{C0}}-\\x{{1FFF}}\\x{{2080}}-\\x{{2FFF}}\\x{{3040}}-\\x{{10FFFF}}]+') AS ws FROM documents),
+t AS (SELECT rid, unnest(list_append(ws, chr(10))) AS sym, generate_subscripts(list_append(ws, chr(10)), 1) AS pos FROM w WHERE len(ws) > 0),
+g AS (SELECT rid, pos, md5(sym) AS g1, CASE WHEN pos > 1 THEN md5(lag(sym) OVER o || ' ' || sym) END AS g2,
+  CASE WHEN pos > 2 THEN md5(lag(sym, 2) OVER o || ' ' || lag(sym) OVER o || ' ' || sym) END AS g3 FROM t WINDOW o AS (PARTITION BY rid ORDER BY pos)),
+c AS (SELECT rid, pos, count(*) OVER (PARTITION BY rid) AS size,
+  count(*) OVER (PARTITION BY g1) - count(*) OVER (PARTITION BY rid, g1) AS n1,
+  CASE WHEN pos > 1 THEN count(*) OVER (PARTITION BY g2) - count(*) OVER (PARTITION BY rid, g2) END AS n2,
+  CASE WHEN pos > 2 THEN count(*) OVER (PARTITION BY g3) - count(*) OVER (PARTITION BY rid, g3) END AS n3 FROM g),
+z AS (SELECT count(*) AS n, count(DISTINCT sym) AS v FROM t),
+a AS (SELECT rid, pos, n2, n3, (n1 + 1) / (z.n - size + z.v) AS p1, lag(n1) OVER o AS c2, lag(n2) OVER o AS c3 FROM c, z WINDOW o AS (PARTITION BY rid ORDER BY pos)),
+b AS (SELECT *, CASE WHEN pos > 1 THEN (n2 + {PRIOR} * p1) / (c2 + {PRIOR}) ELSE p1 END AS p2 FROM a),
+x AS (SELECT rid, count(*) - 1 AS n_words, sum(ln(CASE WHEN pos > 2 THEN (n3 + {PRIOR} * p2) / (c3 + {PRIOR}) ELSE p2 END)) AS lp FROM b GROUP BY rid)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, round(coalesce(lp, 0.0), 4) + 0.0 AS log_probability, round(exp(-lp / (n_words + 1)), 4) AS perplexity FROM w LEFT JOIN x USING (rid)
+"""

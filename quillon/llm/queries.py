@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, near_dedup, packing, quality, substring_dedup, toxicity, url_filter, warc, word_lm
+from . import decontaminate, line_dedup, lm_score, near_dedup, packing, quality, substring_dedup, toxicity, url_filter, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,7 +46,9 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return word_lm.score(_table(spark, sf_dir, "documents"))
+    """Every document's log-probability and perplexity under the model of all others, rounded to 4 places."""
+    out = lm_score.score(_table(spark, sf_dir, "documents"))
+    return out.withColumns({c: F.round(c, 4) + F.lit(0.0) for c in ("log_probability", "perplexity")})
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,4 +70,4 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL for those that SQL can express; the others are tested against brute force."""
-    return {"op4_url_filter": url_filter.SQL, "op5_quality_rules": quality.SQL, "op6_line_dedup": line_dedup.SQL}
+    return {"op4_url_filter": url_filter.SQL, "op5_quality_rules": quality.SQL, "op6_line_dedup": line_dedup.SQL, "op8_lm_score": lm_score.SQL}

@@ -8,7 +8,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.llm import _text, decontaminate, line_dedup, lm_score, near_dedup, packing, quality, substring_dedup, toxicity, url_filter, warc
-from quillon.llm._shared import Scratch
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, id string, tag int, h string, unit string, sig string, part string, removed_lines string, score string, n_chars long"
@@ -225,44 +224,6 @@ def test_decontamination_equals_brute_force(spark):
     assert got[2].text == "a  b" and got[3].text == "x,  y" and got[6].text is None and got[1].text == rows[0][1]
 
 
-def test_lm_traversal_equals_joins_and_definition(spark):
-    rng = random.Random(6)
-    rows = [(i, " ".join(rng.choice(["the", "of", "cat", "dog", "ran 7", "Été."]) for _ in range(rng.randrange(60)))) for i in range(30)] + [(90, None), (91, ""), (None, "the cat"), (92, "the cat ran " * 900)]
-    docs = frame(spark, rows)
-    a = {r.doc_id: r for r in lm_score.score(docs).collect()}
-    b = {r.doc_id: r for r in lm_score.score(docs, states=1).collect()}
-    assert a.keys() == b.keys() == {i for i, _ in rows}
-    for i in a:
-        assert a[i].n_symbols == b[i].n_symbols
-        assert a[i].log_probability == pytest.approx(b[i].log_probability, rel=1e-5, abs=1e-5)
-    assert a[90].n_symbols == 0 and a[91].perplexity is None and a[90].log_probability == 0
-    # the definition: weights of the longest known n-gram after the backoffs of the contexts before it
-    scratch = Scratch(spark, "t")
-    model = lm_score.weights(scratch.table(lm_score.counts(docs), "c"), scratch)
-    logp = [{r.gram: r.logp for r in m[0].collect()} for m in model]
-    backoff = [{r.gram: r.backoff for r in m[1].collect()} if m[1] is not None else {} for m in model]
-    sym, begin = lm_score.symbols(pa.array(["the cat"]), 4)
-    total = 0.0
-    for at in range(4, len(sym)):
-        code = 0
-        for s in sym[at - 4 : at + 1].tolist():
-            code = code << 6 | s
-        for k in range(5, 0, -1):
-            own = code & ((1 << 6 * k) - 1)
-            if own in logp[k - 1]:
-                total += logp[k - 1][own]
-                break
-            total += backoff[k - 2].get(own >> 6, 0.0)
-    assert a[None].log_probability == pytest.approx(total, rel=1e-5)
-
-
-def test_lm_probabilities_sum_to_one(spark):
-    scratch = Scratch(spark, "t")
-    docs = frame(spark, [(1, "the cat sat on the mat. " * 20), (2, "a dog ran to the cat")])
-    to, weight = lm_score.automaton_of(lm_score.weights(scratch.table(lm_score.counts(docs), "c"), scratch)).resolved()
-    assert np.allclose(np.exp(weight.astype(float)).sum(1), 1, atol=1e-3)
-
-
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     fitted = labels.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)) > 0)
