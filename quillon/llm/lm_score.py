@@ -31,14 +31,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._shared import Scratch, pieces
+from ._shared import pieces
 
-#: Order of the model, weight of the shorter context's probability, and bytes of text in a group.
-ORDER, PRIOR, GROUP_BYTES = 3, 2.0, 12 << 20
+#: Order of the model, weight of the shorter context's probability, bytes of text in a group, and in what a task packs at a time.
+ORDER, PRIOR, GROUP_BYTES, PACK_BYTES = 3, 2.0, 8 << 20, 32 << 20
 #: Stands for the end of a text.
 END = np.uint64(0x0123456789ABCDEF)
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -62,33 +63,88 @@ def grams(symbols: np.ndarray, order: int) -> list[np.ndarray]:
     return out
 
 
-def _place(first: np.ndarray) -> np.ndarray:
-    return np.arange(int(first[-1])) - np.repeat(first[:-1], np.diff(first))
+def _place(sizes: np.ndarray) -> np.ndarray:
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
 def packed(x: np.ndarray) -> bytes:
     """The bytes by significance, which compresses better."""
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(len(x), 8).T).tobytes()
+    return zstandard.compress(np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(len(x), 8).T).tobytes(), 1)
 
 
-def unpacked(raw: bytes | memoryview) -> np.ndarray:
-    """Undoes :func:`packed`."""
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+def unpacked(raw: pa.Scalar) -> np.ndarray:
+    """Undoes :func:`packed`, of a binary scalar."""
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(raw.as_buffer()), np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+def _sorted_block(known: np.ndarray) -> bytes:
+    return packed(np.diff(known, prepend=np.uint64(0)))
+
+
+def _known(raw: pa.Scalar) -> np.ndarray:
+    return np.cumsum(unpacked(raw), dtype=np.uint64)
+
+
+def _part(known: np.ndarray, parts: int) -> np.ndarray:
+    return ((known >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text, grp) as (grp, chunk): the rows of a group that a task has, compressed."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def out() -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(held)
+        grp = np.asarray(table.column("grp"))
+        by = np.argsort(grp, kind="stable")
+        cut = np.flatnonzero(np.diff(grp[by], prepend=-1))
+        table = table.drop_columns(["grp"])
+        for at, end in zip(cut, np.append(cut[1:], len(by)), strict=True):
+            sink = pa.BufferOutputStream()
+            own = table.take(pa.array(by[at:end])).combine_chunks()
+            with pa.ipc.new_stream(sink, own.schema) as writer:
+                writer.write_table(own)
+            yield pa.record_batch([pa.array([grp[by[at]]]), pa.array([zstandard.compress(sink.getvalue(), 3)], pa.binary())], names=["grp", "chunk"])
+
+    for batch in pieces(batches, "text"):
+        held.append(batch)
+        size += batch.nbytes
+        if size > PACK_BYTES:
+            yield from out()
+            held, size = [], 0
+    if held:
+        yield from out()
+
+
+def _texts(chunks: pa.ChunkedArray) -> Iterator[pa.Table]:
+    for c in chunks:
+        yield pa.ipc.open_stream(zstandard.decompress(c.as_buffer())).read_all()
+
+
+def _symbols(columns: Iterator[pa.ChunkedArray]) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, symbols of each text) of several columns of texts."""
+    symbols, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for c in columns:
+        for own in pieces(pa.table([c], names=["text"]).to_batches(), "text"):
+            got, first = tokens(own.column("text"))
+            symbols.append(got)
+            sizes.append(np.diff(first))
+    return np.concatenate(symbols), np.concatenate(sizes)
 
 
 def _counting(order: int, parts: int):
     """The n-grams of a group: (grp, k, part, grams, counts), sorted, with the differences of the hashes."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        symbols, first = tokens(table.column("text"))
-        place, rows = _place(first), []
+        symbols, sizes = _symbols(t.column("text") for t in _texts(table.column("chunk")))
+        place, rows = _place(sizes), []
         for k, g in enumerate(grams(symbols, order), 1):
             known, n = np.unique(g[place >= k - 1], return_counts=True)
-            part = ((known >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-            edge = np.searchsorted(part, np.arange(parts + 1))
+            edge = np.searchsorted(_part(known, parts), np.arange(parts + 1))
             for p in np.flatnonzero(np.diff(edge)).tolist():
                 own = slice(edge[p], edge[p + 1])
-                rows.append((k, p, packed(np.diff(known[own], prepend=np.uint64(0))), packed(n[own])))
+                rows.append((k, p, _sorted_block(known[own]), packed(n[own])))
         columns = list(zip(*rows, strict=True)) or [[]] * 4
         kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
         return pa.table([pa.array([key[0].as_py()] * len(rows), pa.int64()), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["grp", "k", "part", "grams", "counts"])
@@ -98,12 +154,11 @@ def _counting(order: int, parts: int):
 
 def _merged(key: tuple, table: pa.Table) -> pa.Table:
     """Answers the blocks of a range: (grp, k, part, counts), the counts in the whole corpus, in the blocks' order."""
-    own = [np.cumsum(unpacked(b.as_buffer()), dtype=np.uint64) for b in table.column("grams")]
+    own = [_known(b) for b in table.column("grams")]
     known, at = np.unique(np.concatenate(own), return_inverse=True)
     total = np.zeros(len(known), dtype=np.int64)
-    np.add.at(total, at, np.concatenate([unpacked(b.as_buffer()) for b in table.column("counts")]).astype(np.int64))
-    ends = np.cumsum([len(x) for x in own])
-    answers = [packed(total[a]) for a in np.split(at, ends[:-1])]
+    np.add.at(total, at, np.concatenate([unpacked(b) for b in table.column("counts")]).astype(np.int64))
+    answers = [packed(total[a]) for a in np.split(at, np.cumsum([len(x) for x in own])[:-1])]
     return pa.table([table.column("grp"), table.column("k"), table.column("part"), pa.array(answers, pa.binary())], names=["grp", "k", "part", "counts"])
 
 
@@ -137,49 +192,62 @@ def traversed(rest: list[np.ndarray], place: np.ndarray, p: np.ndarray, prior: f
 
 
 def _scoring(order: int, prior: float, words: int, vocabulary: int):
-    def run(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
-        symbols, first = tokens(texts.column("text"))
-        place, size = _place(first), np.diff(first)
-        doc = np.repeat(np.arange(len(size)), size)
+    def run(key: tuple, chunks: pa.Table, answers: pa.Table) -> pa.Table:
+        texts = list(_texts(chunks.column("chunk")))
+        ids = pa.concat_tables(t.select(["doc_id"]) for t in texts).column("doc_id")
+        symbols, size = _symbols(t.column("text") for t in texts)
+        del texts
+        place, doc = _place(size), np.repeat(np.arange(len(size)), size)
         ks, parts = (np.asarray(answers.column(c)) for c in ("k", "part"))
         rest = []
         for k, g in enumerate(grams(symbols, order), 1):
             at = place >= k - 1
             known, gram = np.unique(g[at], return_inverse=True)
             mine = np.flatnonzero(ks == k)
-            counts = [unpacked(answers.column("counts")[int(i)].as_buffer()) for i in mine[np.argsort(parts[mine])]]
+            counts = [unpacked(answers.column("counts")[int(i)]) for i in mine[np.argsort(parts[mine])]]
             total = np.concatenate([np.zeros(0, np.uint64), *counts]).astype(np.float64)
             left = np.zeros(len(symbols))
             left[at] = total[gram] - _own_counts(gram, doc[at], len(known))
             rest.append(left)
         p = (rest[0] + 1) / (words - size[doc] + vocabulary)
         weight = np.bincount(doc, weights=traversed(rest, place, p, prior), minlength=len(size))
-        return pa.table([texts.column("doc_id"), pa.array(np.maximum(size - 1, 0)), pa.array(weight)], names=["doc_id", "n_words", "log_probability"])
+        return pa.table([ids, pa.array(np.maximum(size - 1, 0)), pa.array(weight)], names=["doc_id", "n_words", "log_probability"])
 
     return run
 
 
-def vocabulary_of(docs: DataFrame) -> DataFrame:
-    """(symbol, n) of all texts, counted within tasks first."""
+def size_of(docs: DataFrame) -> tuple[int, int]:
+    """(symbols, different symbols) of all texts."""
+    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
+        known, held, size, total = np.zeros(0, np.uint64), [], 0, 0
+
+        def blocks() -> pa.RecordBatch:
+            edge = np.searchsorted(_part(known, parts), np.arange(parts + 1))
+            some = np.flatnonzero(np.diff(edge))
+            own = [_sorted_block(known[edge[p] : edge[p + 1]]) for p in some]
+            return pa.record_batch([pa.array(some.astype(np.int32)), pa.array(own, pa.binary()), pa.array(np.where(np.arange(len(some)) == 0, total, 0))], names=["part", "block", "n"])
+
         for batch in pieces(batches, "text"):
             held.append(tokens(batch.column("text"))[0])
-            size += len(held[-1])
+            size, total = size + len(held[-1]), total + len(held[-1])
             if size > 1_000_000:
-                yield _counted(held)
-                held, size = [], 0
-        if size:
-            yield _counted(held)
+                known, held, size = np.unique(np.concatenate([known, *held])), [], 0
+                if len(known) > 4_000_000:
+                    yield blocks()
+                    known, total = np.zeros(0, np.uint64), 0
+        known = np.unique(np.concatenate([known, *held]))
+        if len(known):
+            yield blocks()
 
-    return docs.select("text").mapInArrow(run, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n"))
+    def merged(key: tuple, table: pa.Table) -> pa.Table:
+        different = len(np.unique(np.concatenate([_known(b) for b in table.column("block")])))
+        return pa.table({"n": [pa.compute.sum(table.column("n")).as_py()], "v": [different]})
 
-
-def _counted(symbols: list[np.ndarray]) -> pa.RecordBatch:
-    known, n = np.unique(np.concatenate(symbols), return_counts=True)
-    return pa.record_batch([pa.array(known.view(np.int64)), pa.array(n)], names=["symbol", "n"])
+    blocks = docs.select("text").mapInArrow(run, "part int, block binary, n long")
+    got = blocks.groupBy("part").applyInArrow(merged, "n long, v long").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).first()
+    return got["n"] or 0, got["v"] or 0
 
 
 def score(docs: DataFrame, order: int = ORDER, prior: float = PRIOR, group_bytes: int = GROUP_BYTES) -> DataFrame:
@@ -195,18 +263,17 @@ def score(docs: DataFrame, order: int = ORDER, prior: float = PRIOR, group_bytes
     gives no rows.
     """
     rows = docs.select("doc_id", "text")
-    scratch = Scratch(docs.sparkSession, "lm")
-    size = scratch.table(vocabulary_of(rows), "words").agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    kind = dict(rows.dtypes)["doc_id"]
+    words, vocabulary = size_of(rows)
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()["bytes"]
-    scratch.drop()
     groups, parts = total // group_bytes + 1, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blank = F.coalesce("text", F.lit("")) == ""
-    # both uses are the same exchange: the texts move once
     grouped = rows.where(~blank).withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)))
-    blocks = grouped.groupBy("grp").applyInArrow(_counting(order, parts), "grp long, k int, part int, grams binary, counts binary")
+    # both uses are the same exchange: the texts move once
+    chunks = grouped.mapInArrow(_chunks, "grp long, chunk binary")
+    blocks = chunks.groupBy("grp").applyInArrow(_counting(order, parts), "grp long, k int, part int, grams binary, counts binary")
     answers = blocks.groupBy("k", "part").applyInArrow(_merged, "grp long, k int, part int, counts binary")
-    kind = dict(rows.dtypes)["doc_id"]
-    scored = grouped.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(_scoring(order, prior, size["n"], size["v"]), f"doc_id {kind}, n_words long, log_probability double")
+    scored = chunks.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(_scoring(order, prior, words, vocabulary), f"doc_id {kind}, n_words long, log_probability double")
     none = rows.where(blank).select("doc_id", F.lit(0).cast("long").alias("n_words"), F.lit(0.0).alias("log_probability"))
     return scored.unionByName(none).withColumn("perplexity", F.when(F.col("n_words") > 0, F.exp(-F.col("log_probability") / (F.col("n_words") + 1))))
 
