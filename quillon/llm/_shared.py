@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -18,11 +19,16 @@ NO_ID = -(2**63)
 SLICE_BYTES = 2 << 20
 
 
+_TRACKED: list[list[Scratch]] = []
+
+
 class Scratch:
     """Tables that cut lineage: Parquet in the shared folder, so a lost executor loses nothing."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        if _TRACKED:
+            _TRACKED[-1].append(self)
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """df, written and read again."""
@@ -37,6 +43,17 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def dropping() -> Iterator[None]:
+    """Drops the tables of every Scratch made within, when what was made of them is written."""
+    _TRACKED.append([])
+    try:
+        yield
+    finally:
+        for scratch in _TRACKED.pop():
+            scratch.drop()
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """The names, with as many underscores before them as keep them apart from df's columns (in any case)."""
     taken = {c.lower() for c in df.columns}

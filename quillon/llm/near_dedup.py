@@ -9,7 +9,8 @@ prefixes meet in, looked up in the signatures. Nothing is capped: what the
 order skips can't be the only thing a matching pair has in common.
 
 Documents with equal signatures agree in every coordinate. They are collapsed
-to their first before posting, and reported as pairs with it.
+to one before posting and never expanded again: results are one row for each
+document, with its class and the number of documents that it matches.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text
-from ._shared import Scratch, known, pieces, unknown
+from ._shared import Scratch, fresh, known, pieces, unknown
 
 #: Signature length, words in a shingle, coordinates that must agree (0.53 of 64).
 COORDINATES, SHINGLE, LEAST = 64, 3, 34
@@ -57,23 +58,28 @@ def _signatures(coordinates: int, shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             some, sig = signatures_of(batch.column("text"), coordinates, shingle)
-            offsets = pa.array(np.arange(len(some) + 1, dtype=np.int32) * coordinates)
-            take = pa.array(some)
-            yield pa.record_batch([batch.column("id").take(take), batch.column("tag").take(take), pa.ListArray.from_arrays(offsets, pa.array(sig.ravel().view(np.int32)))], names=["id", "tag", "sig"])
+            # texts without a word have no signature
+            has = np.zeros(batch.num_rows, dtype=bool)
+            has[some] = True
+            offsets = np.concatenate([[0], np.cumsum(has) * coordinates]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets, mask=np.append(~has, False)), pa.array(sig.ravel().view(np.int32)))
+            yield pa.record_batch([batch.column("id"), batch.column("tag"), lists], names=["id", "tag", "sig"])
 
     return run
 
 
-def matches(docs: DataFrame, scratch: Scratch, coordinates: int = COORDINATES, shingle: int = SHINGLE, least: int = LEAST) -> DataFrame:
-    """Matching pairs ``(ida, taga, idb, tagb, matches)``, a before b by (id, tag)."""
+def _matched(docs: DataFrame, scratch: Scratch, coordinates: int, shingle: int, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents (id, tag, uid), classes of equal signatures (uid, sig, r, n) and their matching pairs (a, b, matches).
+
+    r is the first (id, tag) of a class, n the number of its documents; a and b
+    are uids, a < b. A document without a word has a null uid and is in no class.
+    """
     rows = docs.select(known("doc_id").alias("id"), F.xxhash64("text").alias("tag"), "text")
-    signed = scratch.table(rows.mapInArrow(_signatures(coordinates, shingle), "id long, tag long, sig array<int>").withColumn("uid", F.xxhash64("sig")), "signed")
+    signed = scratch.table(rows.mapInArrow(_signatures(coordinates, shingle), "id long, tag long, sig array<int>").withColumn("uid", F.when(F.col("sig").isNotNull(), F.xxhash64("sig"))), "signed")
+    members = scratch.table(signed.select("id", "tag", "uid").distinct(), "members")
     place = F.struct("id", "tag")
-    # equal signatures: one representative, and a pair of it with each of the others
-    groups = signed.groupBy("uid", "sig").agg(F.min(place).alias("r"), F.max(place).alias("z"))
-    unique = scratch.table(groups.select("uid", "sig", "r", (F.col("r") != F.col("z")).alias("many")), "unique")
-    many = unique.where("many").select("uid", "sig", F.col("r.id").alias("rid"), F.col("r.tag").alias("rtag"))
-    copies = signed.join(many, ["uid", "sig"]).where("id != rid or tag != rtag").select(F.col("rid").alias("ida"), F.col("rtag").alias("taga"), F.col("id").alias("idb"), F.col("tag").alias("tagb"), F.lit(coordinates).alias("matches")).distinct()
+    sizes = members.where("uid is not null").groupBy("uid").agg(F.min(place).alias("r"), F.count("*").alias("n"))
+    unique = scratch.table(signed.where("uid is not null").groupBy("uid").agg(F.first("sig").alias("sig")).join(sizes, "uid"), "unique")
 
     token = F.shiftleft(F.col("at").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(0xFFFFFFFF))
     posted = unique.select("uid", F.posexplode("sig").alias("at", "value")).select("uid", token.alias("token"))
@@ -85,34 +91,65 @@ def matches(docs: DataFrame, scratch: Scratch, coordinates: int = COORDINATES, s
     prefix = scratch.table(ranked.where(F.col("rank") <= F.col("all") - (least - 1)).select("uid", "token"), "prefix")
     a, b = prefix.select("token", F.col("uid").alias("a")), prefix.select("token", F.col("uid").alias("b"))
     met = a.join(b, "token").where("a < b").groupBy("a", "b").agg(F.count("*").alias("met"))
-    one = unique.select(F.col("uid").alias("a"), F.col("sig").alias("sa"), F.col("r").alias("ra"))
-    two = unique.select(F.col("uid").alias("b"), F.col("sig").alias("sb"), F.col("r").alias("rb"))
+    one, two = unique.select(F.col("uid").alias("a"), F.col("sig").alias("sa")), unique.select(F.col("uid").alias("b"), F.col("sig").alias("sb"))
     agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    pairs = met.join(one, "a").join(two, "b").withColumn("matches", agree).where(F.col("matches") >= least)
-    first, second = F.least("ra", "rb"), F.greatest("ra", "rb")
-    near = pairs.select(first["id"].alias("ida"), first["tag"].alias("taga"), second["id"].alias("idb"), second["tag"].alias("tagb"), "matches")
-    out = scratch.table(near.unionByName(copies), "pairs")
-    for name in ("signed", "unique", "prefix"):
+    pairs = scratch.table(met.join(one, "a").join(two, "b").select("a", "b", agree.alias("matches")).where(F.col("matches") >= least), "pairs")
+    for name in ("signed", "prefix"):
         scratch.drop(name)
-    return out
+    return members, unique, pairs
 
 
-def near_duplicates(docs: DataFrame, coordinates: int = COORDINATES, shingle: int = SHINGLE, least: int = LEAST) -> DataFrame:
-    """Pairs of documents whose MinHash signatures agree in at least ``least`` coordinates.
+def near_pairs(docs: DataFrame, coordinates: int = COORDINATES, shingle: int = SHINGLE, least: int = LEAST) -> DataFrame:
+    """Matching pairs between the first documents of classes of equal signatures.
 
-    Returns (doc_a, doc_b, matches, similarity), doc_a < doc_b. Documents with
-    equal signatures are one group: each is paired with the group's first, and
-    the first stands for all of them in pairs with other documents.
+    Returns (doc_a, doc_b, n_a, n_b, matches, similarity), doc_a before doc_b, with
+    the numbers of documents in both classes. Edge cases as in :func:`near_duplicates`.
+    """
+    scratch = Scratch(docs.sparkSession, "nearpairs")
+    _, unique, pairs = _matched(docs, scratch, coordinates, shingle, least)
+    one, two = (unique.select(F.col("uid").alias(u), F.col("r").alias(f"r{u}"), F.col("n").alias(f"n{u}")) for u in "ab")
+    both = pairs.join(one, "a").join(two, "b")
+    turned = F.col("ra") > F.col("rb")
+    first, second = F.least("ra", "rb"), F.greatest("ra", "rb")
+    out = both.select(first["id"].alias("ida"), second["id"].alias("idb"), F.when(turned, F.col("nb")).otherwise(F.col("na")).alias("n_a"), F.when(turned, F.col("na")).otherwise(F.col("nb")).alias("n_b"), "matches")
+    return out.select(unknown("ida").alias("doc_a"), unknown("idb").alias("doc_b"), "n_a", "n_b", "matches", (F.col("matches") / coordinates).alias("similarity"))
+
+
+def _classed(docs: DataFrame, scratch: Scratch, coordinates: int, shingle: int, least: int) -> DataFrame:
+    """(id, tag, first, links): every document with the first (id, tag) of its class and the number of its matches."""
+    members, unique, pairs = _matched(docs, scratch, coordinates, shingle, least)
+    roots = _components(pairs, scratch)
+    size = unique.select("uid", "r", "n")
+    ways = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    linked = ways.join(size.select(F.col("uid").alias("b"), "n"), "b").groupBy(F.col("a").alias("uid")).agg(F.sum("n").alias("more"))
+    placed = size.join(roots.select(F.col("node").alias("uid"), "root"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    firsts = placed.groupBy("root").agg(F.min("r").alias("first"))
+    classes = placed.join(firsts, "root").join(linked, "uid", "left").select("uid", "first", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("links"))
+    out = members.join(scratch.table(classes, "classes"), "uid", "left")
+    for name in ("unique", "pairs"):
+        scratch.drop(name)
+    return out.select("id", "tag", F.coalesce("first", F.struct("id", "tag")).alias("first"), F.coalesce("links", F.lit(0)).alias("links"))
 
-    Texts without a word (null, empty, only punctuation) are never paired.
-    A text shorter than a shingle is one shingle. Rows equal in doc_id and text
-    count once; rows of one doc_id with different texts are different documents
-    and may give a pair of equal ids. A null doc_id sorts first. Columns other
-    than doc_id and text are ignored; an empty table gives no pairs.
+
+def near_duplicates(docs: DataFrame, coordinates: int = COORDINATES, shingle: int = SHINGLE, least: int = LEAST) -> DataFrame:
+    """Every document with its class of near duplicates and the number of documents it matches.
+
+    Two documents match where their MinHash signatures agree in at least
+    ``least`` coordinates; classes are the connected components of that relation.
+    Returns (doc_id, class_id, links): class_id is the first doc_id of the class,
+    links the number of other documents that match this one, copies included. A
+    document that matches no other is its own class, with no links.
+
+    Texts without a word (null, empty, only punctuation) match nothing. A text
+    shorter than a shingle is one shingle; texts of any length are taken whole.
+    Rows equal in doc_id and text count once; rows of one doc_id with different
+    texts are different documents. doc_id is an integer; a null one sorts first
+    and, where it is the first of a class, gives a null class_id. Columns other
+    than doc_id and text are ignored; an empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "near")
-    pairs = matches(docs, scratch, coordinates, shingle, least)
-    return pairs.select(unknown("ida").alias("doc_a"), unknown("idb").alias("doc_b"), "matches", (F.col("matches") / coordinates).alias("similarity"))
+    out = _classed(docs, scratch, coordinates, shingle, least)
+    return out.select(unknown("id").alias("doc_id"), F.col("first.id").alias("own"), "links").select("doc_id", unknown("own").alias("class_id"), "links")
 
 
 def _components(pairs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -145,18 +182,20 @@ def _components(pairs: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, coordinates: int = COORDINATES, shingle: int = SHINGLE, least: int = LEAST) -> DataFrame:
-    """docs with one document, the first by doc_id, of each group of near duplicates.
+    """docs with one document, the first by doc_id, of each class of :func:`near_duplicates`.
 
-    Groups are the connected components of :func:`near_duplicates`. Of rows that
-    are equal in doc_id and text one is kept. Texts without a word are kept. The
-    columns are those of docs.
+    Of rows that are equal in doc_id and text one is kept, whichever Spark meets
+    first where they differ in other columns. Texts without a word are kept, but
+    for such repeats of a text that isn't empty. The columns are those of docs,
+    whatever their names; an empty table stays empty.
     """
     scratch = Scratch(docs.sparkSession, "neardrop")
-    pairs = matches(docs, scratch, coordinates, shingle, least)
-    edges = pairs.select(F.struct(F.col("ida").alias("id"), F.col("taga").alias("tag")).alias("a"), F.struct(F.col("idb").alias("id"), F.col("tagb").alias("tag")).alias("b"))
-    gone = _components(edges, scratch).select(F.col("node.id").alias("__q_id"), F.col("node.tag").alias("__q_tag"))
-    rows = docs.withColumns({"__q_id": known("doc_id"), "__q_tag": F.xxhash64("text")})
-    left = rows.join(gone, ["__q_id", "__q_tag"], "left_anti")
+    gone = _classed(docs, scratch, coordinates, shingle, least).where("first.id != id or first.tag != tag")
+    id_, tag, nth, apart = fresh(docs, "q_id", "q_tag", "q_nth", "q_apart")
+    gone = gone.select(F.col("id").alias(id_), F.col("tag").alias(tag))
+    # blank texts are kept as they are, so that they don't meet in one window
     blank = F.coalesce("text", F.lit("")) == ""
-    same = Window.partitionBy("__q_id", "__q_tag").orderBy("__q_id")
-    return left.withColumn("__q_nth", F.row_number().over(same)).where((F.col("__q_nth") == 1) | blank).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.withColumns({id_: known("doc_id"), tag: F.xxhash64("text"), apart: F.when(blank, F.monotonically_increasing_id())})
+    left = rows.join(gone, [id_, tag], "left_anti")
+    same = Window.partitionBy(id_, tag, apart).orderBy(id_)
+    return left.withColumn(nth, F.row_number().over(same)).where(F.col(nth) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.llm import _text, decontaminate, line_dedup, lm_score, near_dedup, packing, quality, substring_dedup, toxicity, url_filter, warc
+from quillon.llm._shared import Scratch
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, id string, tag int, h string, unit string, sig string, part string, removed_lines string, score string, n_chars long"
@@ -82,18 +83,37 @@ def test_substring_dedup_diagonal_of_minus_one(spark):
 
 
 def test_near_duplicates_equal_brute_force(spark, corpus):
-    got = {(r.doc_a, r.doc_b): r.matches for r in near_dedup.near_duplicates(frame(spark, corpus)).collect()}
-    ids = [i for i, _ in corpus]
-    _, sig = near_dedup.signatures_of(pa.array([t for _, t in corpus]), 64, 3)
-    brute = {(ids[a], ids[b]): int((sig[a] == sig[b]).sum()) for a in range(len(ids)) for b in range(len(ids)) if ids[a] < ids[b] and (sig[a] == sig[b]).sum() >= near_dedup.LEAST}
-    # of documents with equal signatures, the first stands for the others
-    stands = {}
+    rows = [*corpus, (70, corpus[0][1]), (71, "a b"), (72, "a b"), (73, None), (74, "?"), (75, "?")]
+    docs = frame(spark, rows).withColumns({"q_id": F.lit("x"), "q_tag": F.lit("y"), "uid": F.lit(1)})
+    got = {r.doc_id: (r.class_id, r.links) for r in near_dedup.near_duplicates(docs).collect()}
+    ids = [i for i, t in rows if t and t != "?"]
+    _, sig = near_dedup.signatures_of(pa.array([t for _, t in rows]), 64, 3)
+    agree = {(a, b): int((sig[x] == sig[y]).sum()) for x, a in enumerate(ids) for y, b in enumerate(ids) if a < b}
+    linked = {p: n for p, n in agree.items() if n >= near_dedup.LEAST}
+    root = {i: i for i, _ in rows}
+    for _ in rows:
+        for a, b in linked:
+            root[a] = root[b] = min(root[a], root[b])
+    assert got == {i: (root[i], sum(i in p for p in linked)) for i, _ in rows}
+    # pairs of the first of each class of equal signatures
+    first = {}
     for i, s in zip(ids, map(bytes, sig), strict=True):
-        stands.setdefault(s, i)
-    lead = {i: stands[bytes(s)] for i, s in zip(ids, sig, strict=True)}
-    assert got == {(a, b): m for (a, b), m in brute.items() if (lead[a] == a and lead[b] == b) or lead[b] == a}
-    kept = {r.doc_id for r in near_dedup.drop_near_duplicates(frame(spark, corpus)).collect()}
-    assert {0, 1, 2, 5} <= kept and not kept & {20, 21, 22, 30, 31, 32, 33}
+        first.setdefault(s, []).append(i)
+    firsts = {m[0]: len(m) for m in first.values()}
+    pairs = {(r.doc_a, r.doc_b): (r.n_a, r.n_b, r.matches) for r in near_dedup.near_pairs(docs).collect()}
+    assert pairs == {(a, b): (firsts[a], firsts[b], n) for (a, b), n in linked.items() if a in firsts and b in firsts}
+    kept = near_dedup.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert {r.doc_id: (r.q_id, r.q_tag, r.uid) for r in kept.collect()} == {i: ("x", "y", 1) for i, _ in rows if root[i] == i}
+
+
+def test_components_of_long_chains(spark):
+    """Classes are whole however far their ends are apart."""
+    edges = [(i, i + 1) for i in range(40)] + [(100, 103), (101, 103), (102, 100)]
+    pairs = spark.createDataFrame([(min(e), max(e)) for e in edges], "a long, b long")
+    got = {r.node: r.root for r in near_dedup._components(pairs, Scratch(spark, "t")).collect()}
+    assert got == {i: 0 for i in range(1, 41)} | {101: 100, 102: 100, 103: 100}
+    assert near_dedup._components(pairs.where("false"), Scratch(spark, "t")).count() == 0
 
 
 def test_line_dedup_equals_sql(spark):
@@ -138,6 +158,14 @@ def test_url_filter_has_no_false_result(spark):
     assert got == {i: i % 7 == 1 for i in range(3000)} | {None: False, -1: False, -2: True}
     exact = {r.page_id: r.listed for r in url_filter.flag_listed(pages, listed, broadcast_bytes=1).collect()}
     assert exact == got
+    # some pages pass the filter that aren't listed: the exact join removes them
+    h = F.xxhash64("u")
+    exact = listed.select(url_filter.canonical(F.col("url")).alias("u")).distinct()
+    words = url_filter.bloom(exact.withColumnRenamed("u", "url"), exact.count() // url_filter.PER_BLOCK + 1)
+    probe = pages.select(url_filter.canonical(F.col("url")).alias("u")).distinct().join(words, url_filter._block(h, exact.count() // url_filter.PER_BLOCK + 1) == F.col("block"))
+    for i, salt in enumerate(url_filter.SALTS):
+        probe = probe.where(F.call_function("shiftright", F.col(f"w{i}"), url_filter._bit(h, salt)).bitwiseAND(1) == 1)
+    assert exact.count() < probe.count() < 1.1 * exact.count() + 200
     none = url_filter.flag_listed(pages, listed.where("false"))
     assert none.count() == 3003 and none.where("listed").count() == 0
 
@@ -180,7 +208,7 @@ def test_packing_is_valid_and_tight(spark):
         assert at == len(texts[i])
     assert set(cover) == set(texts)
     # against the linear program's own lower bound, and best fit decreasing
-    rooms, pieces = [], sorted((min(1500, -(-r.n_words // 4) * 4) for r in places), reverse=True)
+    rooms, pieces = [], sorted((r.n_words for r in places), reverse=True)
     for p in pieces:
         fits = [i for i, x in enumerate(rooms) if x >= p]
         if fits:
@@ -191,8 +219,25 @@ def test_packing_is_valid_and_tight(spark):
     assert bound <= len(used) <= 1.02 * min(len(rooms), bound * 1.05) + 1
 
 
+def test_packing_in_parts(spark):
+    """Lengths of many pieces are ranked in parts, repeated rows and short texts are packed without waste."""
+    docs = frame(spark, [(i, "one two") for i in range(50)] + [(7, "x y")] * 46)
+    got = packing.pack(docs, capacity=8, rounds=20, part_pieces=9).collect()
+    assert len(got) == 96 and len({(r.bin, r.slot) for r in got}) == 96 and len({r.bin for r in got}) == 24
+
+
 def test_packing_bound_and_pricing():
     assert packing.priced(np.array([3.0, 4.0]), np.array([2, 3]), 7) == ({0: 2, 1: 1}, 10.0)
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        sizes = np.unique(rng.integers(1, 40, rng.integers(1, 12)))
+        prices, capacity = rng.random(len(sizes)) * sizes, int(rng.integers(sizes[0], 120))
+        best = np.zeros(capacity + 1)
+        for c in range(1, capacity + 1):
+            best[c] = max([best[c - 1], *(best[c - s] + p for s, p in zip(sizes, prices, strict=True) if s <= c)])
+        config, worth = packing.priced(prices, sizes, capacity)
+        assert worth == pytest.approx(best[capacity]) == pytest.approx(sum(prices[i] * n for i, n in config.items()))
+        assert sum(sizes[i] * n for i, n in config.items()) <= capacity
     plan = packing.solve({6: 30, 4: 30, 5: 20}, 10, 200)
     assert plan.bound <= 40 + 1e-6 and plan.bins <= 42
     assert packing.solve({}, 10).bins == 0
@@ -266,7 +311,7 @@ def test_odd_rows_and_empty_tables(spark, odd):
     }
     n = {name: f(odd).count() for name, f in every.items()}
     assert n["lines"] == n["lm"] == n["toxicity"] == n["quality"] == n["leaks"] == 10
-    assert n["near"] == 1 and n["near_drop"] == 8 and n["substring"] == 0
+    assert n["near"] == 9 and n["near_drop"] == 8 and n["substring"] == 0
     assert n["packing"] == 1 + 2 + 1 + 1 + 30 + 1
     assert {name: f(odd.where("false")).count() for name, f in every.items()} == dict.fromkeys(every, 0)
 
