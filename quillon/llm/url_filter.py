@@ -3,7 +3,9 @@
 Both sides are canonical URLs. The filter's blocks are rows of eight 32-bit
 words; a URL sets one bit of each word of one block. The pages probe it by a
 join on the block number, inside generated code. What passes is joined with
-the list itself, which removes the false positives; the rest never shuffles.
+the list itself, which removes the false positives. A filter of up to
+``BROADCAST_BYTES`` is broadcast, so that the other pages never shuffle; the
+blocks of a larger one are partitioned, and the pages go to their block.
 """
 
 from __future__ import annotations
@@ -13,11 +15,14 @@ from pyspark.sql import functions as F
 
 from ._shared import Scratch
 
-#: Listed URLs to a block (about 1 % false positives), and the largest filter that is broadcast.
+#: Listed URLs to a block (about 1 % false positives), and the bytes of the largest filter that is broadcast.
 PER_BLOCK, BROADCAST_BYTES = 24, 64 << 20
+#: Of a block: its number and eight words, in Spark's rows.
+BLOCK_BYTES = 96
 SALTS = (0x47B6137B, 0x44974D91, 0x0824AD5B, 0x22B7289D, 0x705495C7, 0x2DF1424B, 0x1EFC4947, 0x5C6BFB31)
-#: Hosts whose pages make up the list that the query uses.
-LISTED_HOSTS = ("ads-track.example.com", "spam-farm.example.org", "casino-win.example.net", "adult-x.example.com", "cheap-pills.example.net", "free-bets.example.net")
+#: Labels of hosts, under whatever domain, whose pages make up the list that the query uses; top-level domains of their mirrors.
+LISTED_LABELS = ("ads-track", "spam-farm", "casino-win", "adult-x", "cheap-pills", "free-bets")
+MIRRORS = ("com", "net", "org")
 
 
 def canonical(url: Column) -> Column:
@@ -63,30 +68,28 @@ def flag_listed(pages: DataFrame, listed: DataFrame, per_block: int = PER_BLOCK,
 
     pages: page_id, url; listed: url (in any form). Returns (page_id, url,
     canonical_url, listed). A null URL is never listed, in either table; an
-    empty list lists nothing. Repeated rows and repeated URLs stay; null page_ids
-    are kept; other columns are ignored. A list whose filter would be larger than
-    ``broadcast_bytes`` goes without it, to the exact join alone.
+    empty one is listed by an empty one; an empty list lists nothing, and an empty
+    table gives no rows. Repeated rows and repeated URLs stay; null page_ids are
+    kept; URLs of any length are compared whole; other columns, whatever their
+    names, are ignored. A filter of more than ``broadcast_bytes`` isn't broadcast.
     """
     scratch = Scratch(pages.sparkSession, "urls")
     exact = scratch.table(listed.select(canonical(F.col("url")).alias("url")).where("url is not null").distinct(), "listed")
     n = exact.count()
     rows = pages.select("page_id", "url", canonical(F.col("url")).alias("canonical_url"))
-    none, yes = F.lit(False).alias("listed"), F.lit(True).alias("listed")
-    if n == 0:
-        return rows.select("*", none)
+    none = F.lit(False).alias("listed")
     blocks = n // per_block + 1
-    keys = exact.select(F.col("url").alias("__url"))
-    if blocks * 80 > broadcast_bytes:
-        return rows.join(keys, F.col("canonical_url") == F.col("__url"), "left").select("page_id", "url", "canonical_url", F.col("__url").isNotNull().alias("listed"))
+    keys = exact.select(F.col("url").alias("key"))
     words = scratch.table(bloom(exact, blocks), "bloom")
+    words = F.broadcast(words) if blocks * BLOCK_BYTES <= broadcast_bytes else words.hint("merge")
     h = F.xxhash64("canonical_url")
-    probed = rows.withColumn("__block", _block(h, blocks)).join(F.broadcast(words), F.col("__block") == F.col("block"), "left")
+    probed = rows.withColumn("at", _block(h, blocks)).join(words, F.col("at") == F.col("block"), "left")
     hit = F.col("canonical_url").isNotNull() & F.col("block").isNotNull()
     for i, salt in enumerate(SALTS):
         hit = hit & (F.call_function("shiftright", F.col(f"w{i}"), _bit(h, salt)).bitwiseAND(1) == 1)
-    probed = probed.select("page_id", "url", "canonical_url", F.coalesce(hit, F.lit(False)).alias("__hit"))
-    possible = probed.where("__hit").join(keys.hint("shuffle_hash"), F.col("canonical_url") == F.col("__url"), "left")
-    return probed.where("not __hit").select("page_id", "url", "canonical_url", none).unionByName(possible.select("page_id", "url", "canonical_url", F.col("__url").isNotNull().alias("listed")))
+    probed = probed.select("page_id", "url", "canonical_url", F.coalesce(hit, F.lit(False)).alias("hit"))
+    possible = probed.where("hit").join(keys.hint("shuffle_hash"), F.col("canonical_url") == F.col("key"), "left")
+    return probed.where("not hit").select("page_id", "url", "canonical_url", none).unionByName(possible.select("page_id", "url", "canonical_url", F.col("key").isNotNull().alias("listed")))
 
 
 _CANONICAL = """
@@ -99,11 +102,16 @@ k AS (SELECT page_id, url, host, host || path || CASE WHEN len(own) > 0 THEN '?'
 """
 #: What the query gives for pages, as SQL.
 SQL = f"""
-WITH {_CANONICAL}, listed AS (SELECT DISTINCT canonical_url AS listed_url FROM k WHERE host IN ({", ".join(f"'{h}'" for h in LISTED_HOSTS)}))
+WITH {_CANONICAL}, bad AS (SELECT host, canonical_url FROM k WHERE list_has_any(string_split(host, '.'), [{", ".join(f"'{x}'" for x in LISTED_LABELS)}])),
+listed AS (SELECT DISTINCT regexp_replace(host, '[^.]+$', tld) || substr(canonical_url, length(host) + 1) AS listed_url FROM bad, (SELECT unnest([{", ".join(f"'{x}'" for x in MIRRORS)}]) AS tld))
 SELECT page_id, url, canonical_url, listed_url IS NOT NULL AS listed FROM k LEFT JOIN listed ON canonical_url = listed_url
 """
 
 
 def listed_of(pages: DataFrame) -> DataFrame:
-    """The query's list: the URLs of all pages of the listed hosts."""
-    return pages.select("url").where(host_of(canonical(F.col("url"))).isin(*LISTED_HOSTS))
+    """The query's list (url): what has been reported, the pages of hosts with a listed label, and the same under all mirrors' domains."""
+    url = canonical(F.col("url"))
+    host = host_of(F.col("u"))
+    bad = pages.select(url.alias("u")).where(F.arrays_overlap(F.split(host, "\\."), F.array(*[F.lit(x) for x in LISTED_LABELS])))
+    mirrored = bad.select("u", host.alias("h"), F.explode(F.array(*[F.lit(x) for x in MIRRORS])).alias("tld"))
+    return mirrored.select(F.concat(F.expr("regexp_replace(h, '[^.]+$', tld)"), F.expr("substring(u, length(h) + 1)")).alias("url"))
