@@ -1,6 +1,7 @@
 """Best-fit packing by a configuration linear program.
 
-The lengths' histogram has at most ``capacity`` entries whatever the corpus. A
+The lengths' histogram has at most ``capacity`` entries whatever the corpus, and
+is taken as it is. A
 configuration is a set of lengths that fits one bin; the linear program covers
 the histogram with as few configurations as possible. It is solved by
 multiplicative weights: lengths have prices, a knapsack dynamic program finds
@@ -20,9 +21,9 @@ from pyspark.sql import functions as F
 
 from ._shared import Scratch
 
-#: Words in a bin; words in a step of the lengths' grid; rounds of multiplicative weights;
-#: share of a length that a round covers, with the rate of its price; parts into which ranks are counted.
-CAPACITY, GRAIN, ROUNDS, SHARE, RATE, PARTS = 2048, 4, 1500, 0.25, 1.0, 64
+#: Words in a bin; rounds of multiplicative weights; share of a length that a round
+#: covers, with the rate of its price; pieces of a length that one task ranks.
+CAPACITY, ROUNDS, SHARE, RATE, PART_PIECES = 2048, 1500, 0.25, 1.0, 1_000_000
 
 
 @dataclass
@@ -39,28 +40,33 @@ class Plan:
 
 
 def priced(prices: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[dict[int, int], float]:
-    """The configuration {index: count} of greatest price, and that price: knapsack by dynamic programming."""
-    step = int(np.gcd.reduce(sizes))
-    sizes, capacity = sizes // step, capacity // step
+    """The configuration {index: count} of greatest price, and that price: knapsack by dynamic programming.
+
+    sizes are sorted. A size that isn't worth more than every smaller one is
+    never needed. Of each other size 1, 2, 4, ... pieces are offered at a time,
+    which makes up every number of them, for all rooms at once.
+    """
+    top = np.maximum.accumulate(np.concatenate([[0.0], prices[:-1]]))
     best = np.zeros(capacity + 1)
-    pick = np.full(capacity + 1, -1)
-    fits = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
-    for c in range(int(sizes[0]), capacity + 1):
-        worth = prices[: fits[c]] + best[c - sizes[: fits[c]]]
-        i = int(worth.argmax())
-        if worth[i] > best[c - 1]:
-            best[c], pick[c] = worth[i], i
-        else:
-            best[c] = best[c - 1]
+    steps: list[tuple[int, int, np.ndarray]] = []
+    for i in np.flatnonzero(prices > top).tolist():
+        many, left = 1, capacity // int(sizes[i])
+        while left > 0:
+            many = min(many, left)
+            size = many * int(sizes[i])
+            worth = best[: capacity + 1 - size] + many * prices[i]
+            better = worth > best[size:]
+            best[size:] = np.where(better, worth, best[size:])
+            steps.append((i, many, better))
+            left -= many
+            many *= 2
     out: dict[int, int] = {}
     c = capacity
-    while c > 0:
-        i = int(pick[c])
-        if i < 0:
-            c -= 1
-            continue
-        out[i] = out.get(i, 0) + 1
-        c -= int(sizes[i])
+    for i, many, better in reversed(steps):
+        size = many * int(sizes[i])
+        if c >= size and better[c - size]:
+            out[i] = out.get(i, 0) + many
+            c -= size
     return out, float(best[capacity])
 
 
@@ -150,39 +156,44 @@ def _best_fit(rows: list, rank: np.ndarray, left: np.ndarray, sizes: np.ndarray,
     return rows, bins
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN, rounds: int = ROUNDS, parts: int = PARTS) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS, part_pieces: int = PART_PIECES) -> DataFrame:
     """Places for all documents in bins of ``capacity`` words.
 
     A document longer than a bin is cut into pieces of ``capacity`` words and a
     rest. Returns (doc_id, piece, start_word, n_words, bin, slot): words
     start_word to start_word + n_words of the document are the slot-th piece of
     the bin; the pieces of a bin are at most ``capacity`` words together. Words are
-    runs of characters other than white space. A piece takes its length rounded
-    up to a multiple of ``grain``, which keeps the program small.
-
-    Null, empty and blank texts have no words and no place. Repeated rows are
-    packed one by one; a null doc_id is kept. Columns other than doc_id and text
-    are ignored. An empty table gives no places.
+    runs of characters other than white space.
+
+    Null, empty and blank texts have no words and no place; texts of any length
+    are placed whole. Repeated rows are packed one by one. Pieces of one length
+    are exchangeable: they are ranked by (doc_id, piece), ties and lengths of more
+    than ``part_pieces`` pieces in parts, whichever comes first. A null doc_id is
+    kept. Columns other than doc_id and text, whatever their names, are ignored.
+    An empty table gives no places.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "packing")
     words = docs.select("doc_id", F.regexp_count("text", F.lit("\\S+")).alias("w")).where("w > 0")
     cut = words.select("doc_id", "w", F.explode(F.sequence(F.lit(0), ((F.col("w") - 1) / capacity).cast("int"))).alias("piece"))
     start = F.col("piece") * capacity
     cut = cut.select("doc_id", "piece", start.alias("start_word"), F.least(F.lit(capacity), F.col("w") - start).cast("int").alias("n_words"))
-    room = F.least(F.lit(capacity), F.ceil(F.col("n_words") / grain) * grain).cast("int")
-    cut = scratch.table(cut.withColumns({"room": room, "part": F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)).cast("int")}), "pieces")
-    # at most capacity / grain * parts rows, whatever the corpus
-    counts = sorted((r["room"], r["part"], r["count"]) for r in cut.groupBy("room", "part").count().collect())
-    histogram: dict[int, int] = {}
-    offsets = []
-    for size, part, n in counts:
-        offsets.append((size, part, histogram.get(size, 0)))
-        histogram[size] = histogram.get(size, 0) + n
+    # the number tells repeated rows apart; it is written, so it stays the same
+    cut = scratch.table(cut.withColumn("nr", F.monotonically_increasing_id()), "pieces")
+    # at most ``capacity`` rows, whatever the corpus
+    histogram = {r["n_words"]: r["count"] for r in cut.groupBy("n_words").count().collect()}
     plan = solve(histogram, capacity, rounds)
-    offset = spark.createDataFrame(offsets, "room int, part int, offset long")
-    places = spark.createDataFrame(plan.rows, "room int, rank0 long, rank1 long, per long, bin0 long, slot0 long")
-    ranked = cut.withColumn("nth", F.row_number().over(Window.partitionBy("room", "part").orderBy("doc_id", "piece")) - 1)
-    ranked = ranked.join(F.broadcast(offset), ["room", "part"]).withColumn("rank", F.col("nth") + F.col("offset"))
-    placed = ranked.join(F.broadcast(places), "room").where("rank >= rank0 and rank < rank1")
+    # a length has parts in proportion to its pieces: at most pieces / part_pieces + capacity rows
+    parts = spark.createDataFrame([(size, -(-n // part_pieces)) for size, n in sorted(histogram.items())], "n_words int, parts long")
+    cut = cut.join(F.broadcast(parts), "n_words").withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "nr"), "parts")).drop("parts")
+    offsets, before = [], (None, 0)
+    for r in sorted(cut.groupBy("n_words", "part").count().collect()):
+        first = before[1] if r["n_words"] == before[0] else 0
+        offsets.append((r["n_words"], r["part"], first))
+        before = (r["n_words"], first + r["count"])
+    offset = spark.createDataFrame(offsets, "n_words int, part long, offset long")
+    places = spark.createDataFrame(plan.rows, "n_words int, rank0 long, rank1 long, per long, bin0 long, slot0 long")
+    ranked = cut.withColumn("nth", F.row_number().over(Window.partitionBy("n_words", "part").orderBy("doc_id", "piece", "nr")) - 1)
+    ranked = ranked.join(F.broadcast(offset), ["n_words", "part"]).withColumn("rank", F.col("nth") + F.col("offset"))
+    placed = ranked.join(F.broadcast(places), "n_words").where("rank >= rank0 and rank < rank1")
     along = F.col("rank") - F.col("rank0")
     return placed.select("doc_id", "piece", "start_word", "n_words", (F.col("bin0") + F.floor(along / F.col("per"))).alias("bin"), (F.col("slot0") + along % F.col("per")).cast("int").alias("slot"))
