@@ -100,7 +100,7 @@ class Words:
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, bytes) of a string column; null counts as the empty text."""
     if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
+        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.large_string())
     column = pc.fill_null(column.cast(pa.large_string()), "")
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
@@ -109,18 +109,35 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def lowered(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """As :func:`utf8`, in lower case with the byte offsets of the original.
+    """As :func:`utf8`, in lower case with the byte offsets of the original, character by character.
 
     The rare letters whose lower case has another length in UTF-8 stay as they are.
     """
+    if isinstance(column, pa.ChunkedArray):
+        column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.large_string())
     column = pc.fill_null(column.cast(pa.large_string()), "")
     low = pc.utf8_lower(column)
-    odd = pc.not_equal(pc.binary_length(column), pc.binary_length(low))
-    if pc.any(odd).as_py():
-        same = {c: c.lower() if len(c.lower().encode()) == len(c.encode()) else c for c in set("".join(column.filter(odd).to_pylist()))}
-        table = str.maketrans(same)
-        low = pa.array([t.translate(table) if o else x for t, o, x in zip(column.to_pylist(), odd.to_pylist(), low.to_pylist(), strict=True)], pa.large_string())
-    return utf8(low)
+    base, data = utf8(column)
+    to, new = utf8(low)
+    odd = np.diff(base) != np.diff(to)
+    if len(data) == len(new):
+        # letters that grow and letters that shrink can make up for each other
+        moved = np.flatnonzero(((data & 0xC0) == 0x80) != ((new & 0xC0) == 0x80))
+        odd[np.unique(np.searchsorted(base, moved, side="right") - 1)] = True
+        if not odd.any():
+            return to, new
+    else:
+        for d in np.flatnonzero(~odd).tolist():
+            odd[d] = _moved(data[base[d] : base[d + 1]], new[to[d] : to[d + 1]])
+    texts = low.to_pylist()
+    for d in np.flatnonzero(odd).tolist():
+        texts[d] = "".join(x if len(x.encode()) == len(c.encode()) else c for c in column[d].as_py() for x in (c.lower(),))
+    return utf8(pa.array(texts, pa.large_string()))
+
+
+def _moved(old: np.ndarray, new: np.ndarray) -> bool:
+    """Whether characters of texts of one length begin at other bytes."""
+    return bool((((old & 0xC0) == 0x80) != ((new & 0xC0) == 0x80)).any())
 
 
 def separators(data: np.ndarray) -> np.ndarray:

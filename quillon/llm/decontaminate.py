@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._shared import pieces
+from ._shared import Scratch, pieces
 
 #: A match of MAX_WORDS words, or one of MIN_WORDS that is COVERAGE of a test item, is removed.
 MAX_WORDS, MIN_WORDS, COVERAGE = 13, 8, 0.5
-#: Words in one automaton; more test items make more automata, scanned in turn.
-SHARD_WORDS = 1_000_000
+#: Words in one automaton, which bounds what is broadcast and what a worker holds (about 1 kB a word);
+#: more test items make more automata, each with a pass of its own over the documents.
+SHARD_WORDS = 200_000
 
 
 @dataclass
@@ -139,65 +140,73 @@ def _longest(automaton: Automaton, covering: list[int], words: _text.Words, max_
     return sizes, removed
 
 
-_SCHEMA = pa.schema([("doc", pa.int64()), ("longest_match", pa.int32()), ("removed_words", pa.int32()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("clean", pa.large_string())])
-
-
-def clean_batch(column: pa.Array, automata: list[tuple[Automaton, list[int]]], max_words: int, min_words: int, coverage: float) -> pa.RecordBatch:
-    """Longest match, removed spans (in words) and what is left of each text."""
-    w = _text.words(column)
+def scanned(w: _text.Words, automaton: Automaton, covering: list[int], max_words: int, min_words: int, coverage: float) -> tuple[np.ndarray, np.ndarray]:
+    """(longest match of each text, whether each word is to be removed)."""
     n, docs = len(w.hashes), len(w.first) - 1
-    best = np.zeros(n, dtype=np.int32)
+    sizes, cut = _longest(automaton, covering, w, max_words, min_words, coverage)
     gone = np.zeros(n + 1, dtype=np.int32)
-    for automaton, covering in automata:
-        sizes, cut = _longest(automaton, covering, w, max_words, min_words, coverage)
-        best = np.maximum(best, sizes)
-        out = np.flatnonzero(cut)
-        np.add.at(gone, out + 1 - cut[out], 1)
-        np.add.at(gone, out + 1, -1)
-    gone = np.cumsum(gone[:-1]) > 0
+    out = np.flatnonzero(cut)
+    np.add.at(gone, out + 1 - cut[out], 1)
+    np.add.at(gone, out + 1, -1)
     longest = np.zeros(docs, dtype=np.int32)
-    removed = np.zeros(docs, dtype=np.int32)
-    hit = np.flatnonzero(best)
-    doc = np.searchsorted(w.first, hit, side="right") - 1
-    np.maximum.at(longest, doc, best[hit])
+    hit = np.flatnonzero(sizes)
+    np.maximum.at(longest, np.searchsorted(w.first, hit, side="right") - 1, sizes[hit])
+    return longest, np.cumsum(gone[:-1]) > 0
+
+
+def _edges(w: _text.Words, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, end) of the runs of words that are gone, within texts."""
     at = np.flatnonzero(gone)
-    np.add.at(removed, np.searchsorted(w.first, at, side="right") - 1, 1)
-    spans: list[list] = [[] for _ in range(docs)]
-    clean = column.cast(pa.large_string())
-    changed = np.flatnonzero(removed)
-    if len(changed):
-        base, data = _text.utf8(column)
-        texts: dict[int, bytes] = {}
-        for d in changed.tolist():
-            own = gone[w.first[d] : w.first[d + 1]]
-            edge = np.diff(np.concatenate([[0], own.astype(np.int8), [0]]))
-            raw, at, parts = data[base[d] : base[d + 1]].tobytes(), 0, []
-            for s, e in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
-                spans[d].append({"start": s, "end": e})
-                parts.append(raw[at : w.starts[w.first[d] + s] - base[d]])
-                at = int(w.ends[w.first[d] + e - 1] - base[d])
-            parts.append(raw[at:])
-            texts[d] = b"".join(parts)
-        clean = pa.array([texts[i].decode() if i in texts else t for i, t in enumerate(clean.to_pylist())], pa.large_string())
-    return pa.record_batch([pa.array(np.arange(docs)), pa.array(longest), pa.array(removed), pa.array(spans, _SCHEMA.field("spans").type), clean], schema=_SCHEMA)
-
-
-def automata_of(benchmark: DataFrame, min_words: int = MIN_WORDS, shard_words: int = SHARD_WORDS) -> list[Automaton]:
-    """Automata of all items of at least min_words words, shard_words words in each."""
-    shards, items, size = [], [], 0
+    if not len(at):
+        return at, at, at
+    doc = np.searchsorted(w.first, at, side="right") - 1
+    new = np.ones(len(at), dtype=bool)
+    new[1:] = (np.diff(at) > 1) | (np.diff(doc) > 0)
+    head = np.flatnonzero(new)
+    last = np.append(head[1:], len(at)) - 1
+    base = w.first[doc[head]]
+    return doc[head], at[head] - base, at[last] + 1 - base
+
+
+def _cleaned(column: pa.Array, w: _text.Words, doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The texts without the runs of words."""
+    if not len(doc):
+        return column.cast(pa.string())
+    base, data = _text.utf8(column)
+    texts = column.to_pylist()
+    for d in np.unique(doc).tolist():
+        raw, at, parts = data[base[d] : base[d + 1]].tobytes(), 0, []
+        for i in np.flatnonzero(doc == d).tolist():
+            parts.append(raw[at : w.starts[w.first[d] + start[i]] - base[d]])
+            at = int(w.ends[w.first[d] + end[i] - 1] - base[d])
+        texts[d] = b"".join([*parts, raw[at:]]).decode()
+    return pa.array(texts, pa.string())
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+
+def _spans(docs: int, doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    offsets = np.searchsorted(doc, np.arange(docs + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays([pa.array(x.astype(np.int32)) for x in (start, end)], names=["start", "end"]))
+
+
+def automata_of(benchmark: DataFrame, min_words: int = MIN_WORDS, shard_words: int = SHARD_WORDS) -> Iterator[Automaton]:
+    """Automata of all items of at least min_words words, shard_words words in each, one after the other."""
+    items, size = [], 0
     for row in benchmark.select("text").where("text is not null").orderBy("text").toLocalIterator():
         h = _text.words(pa.array([row["text"]], pa.string())).hashes
         if len(h) < min_words:
             continue
         if size and size + len(h) > shard_words:
-            shards.append(Automaton.of(items))
+            yield Automaton.of(items)
             items, size = [], 0
         items.append(h)
         size += len(h)
-    return [*shards, Automaton.of(items)] if items else shards
+    yield Automaton.of(items)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, max_words: int = MAX_WORDS, min_words: int = MIN_WORDS, coverage: float = COVERAGE, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, max_words: int = MAX_WORDS, min_words: int = MIN_WORDS, coverage: float = COVERAGE, keep: tuple[str, ...] = ("doc_id",), shard_words: int = SHARD_WORDS) -> DataFrame:
     """docs without what they share with the test items.
 
     Each document's words are streamed through the automaton of the items. A
@@ -208,22 +217,48 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, max_words: int = MAX_WO
 
     Returns the columns ``keep`` of docs, then longest_match (words; 0 where it is
     under min_words), removed_words, spans (word positions), contaminated and
-    text, the clean text. ``keep`` must not name one of these. Items of fewer
-    than ``min_words`` words can't be told from chance and are ignored, as are
-    null items. Null texts stay null and empty ones empty. Each row is handled
-    by itself, so repeated rows, ties and null ids need no rule.
+    text, the clean text; a column of docs of one of these names is replaced.
+    Items of fewer than ``min_words`` words can't be told from chance and are
+    ignored, as are null items; without items nothing is removed. Null texts stay
+    null and empty ones empty; texts of any length are scanned whole. Each row is
+    handled by itself, so repeated rows, ties and null ids need no rule; an empty
+    table stays empty. Items of more than ``shard_words`` words together are
+    scanned in passes, between which the documents are written.
     """
-    spark = docs.sparkSession
-    automata = [spark.sparkContext.broadcast((a, a.covering(min_words, coverage))) for a in automata_of(benchmark, min_words)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = [a.value for a in automata]
-        for batch in pieces(batches, "__q_text"):
-            got = clean_batch(batch.column("__q_text"), own, max_words, min_words, coverage)
-            rest = [batch.column(c) for c in batch.schema.names if c != "__q_text"]
-            names = [c for c in batch.schema.names if c != "__q_text"]
-            yield pa.record_batch([*rest, got.column("longest_match"), got.column("removed_words"), got.column("spans"), pa.compute.greater(got.column("removed_words"), 0), got.column("clean").cast(pa.string())], names=[*names, "longest_match", "removed_words", "spans", "contaminated", "text"])
-
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").alias("__q_text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__q_text"), "longest_match int, removed_words int, spans array<struct<start:int,end:int>>, contaminated boolean, text string"])
-    return rows.mapInArrow(run, schema)
+    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "leaks")
+    made = ("longest_match", "removed_words", "spans", "contaminated", "text")
+    kept = [c for c in keep if c.lower() not in made]
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(kept)], F.col("text").cast("string").alias("q_text"), F.lit(0).alias("q_longest"), F.array().cast("array<struct<start:int,end:int>>").alias("q_spans"))
+    own = ", ".join([*(f"k{i} {dict(docs.dtypes)[c]}" for i, c in enumerate(kept)), "q_text string, q_longest int, q_spans array<struct<start:int,end:int>>"])
+
+    def scan(automaton, last: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in pieces(batches, "q_text"):
+                w = _text.words(batch.column("q_text"))
+                longest, gone = scanned(w, *automaton.value, max_words, min_words, coverage)
+                before = batch.column("q_spans")
+                if len(flat := before.flatten()):
+                    at = np.repeat(w.first[:-1], np.diff(np.asarray(before.offsets)))
+                    for s, e in zip((at + np.asarray(flat.field("start"))).tolist(), (at + np.asarray(flat.field("end"))).tolist(), strict=True):
+                        gone[s:e] = True
+                longest = np.maximum(longest, np.asarray(batch.column("q_longest")))
+                doc, start, end = _edges(w, gone)
+                text = _cleaned(batch.column("q_text"), w, doc, start, end) if last else batch.column("q_text")
+                rest = [c for c, name in zip(batch.columns, batch.schema.names, strict=True) if name[0] == "k"]
+                out = [*rest, text, pa.array(longest), _spans(batch.num_rows, doc, start, end)]
+                yield pa.record_batch(out, names=[*batch.schema.names[: len(rest)], "q_text", "q_longest", "q_spans"])
+
+        return run
+
+    n, waiting = 0, None
+    for automaton in automata_of(benchmark, min_words, shard_words):
+        if waiting is not None:
+            rows = scratch.table(rows.mapInArrow(scan(waiting, False), own), f"pass{n}")
+            waiting.unpersist()
+            if n:
+                scratch.drop(f"pass{n - 1}")
+            n += 1
+        waiting = spark.sparkContext.broadcast((automaton, automaton.covering(min_words, coverage)))
+    out = rows.mapInArrow(scan(waiting, True), own)
+    removed = F.aggregate("q_spans", F.lit(0), lambda s, x: s + x["end"] - x["start"])
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(kept)], F.col("q_longest").alias("longest_match"), removed.alias("removed_words"), F.col("q_spans").alias("spans"), (F.size("q_spans") > 0).alias("contaminated"), F.col("q_text").alias("text"))
