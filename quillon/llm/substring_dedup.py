@@ -22,8 +22,8 @@ def repeated_passages(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -
     lies in the union of its document's passages; passages inside another one
     of the same document are left out.
 
-    Null, empty and short texts have no passages. A row that is repeated as a
-    whole counts once. Rows that differ under one doc_id are told apart by their
+    Null, empty and short texts have no passages; texts of any length are searched
+    whole. doc_id is an integer. A row that is repeated as a whole counts once. Rows that differ under one doc_id are told apart by their
     text, but are not matched with each other at equal positions. Columns other
     than doc_id and text are ignored. An empty table gives an empty result.
     """

@@ -143,9 +143,11 @@ def score(docs: DataFrame, model: Model | None, passing: bool = False) -> DataFr
     """All rows with their score and whether they are toxic.
 
     Returns (doc_id, score, toxic); with ``passing`` all columns of docs, less
-    the toxic rows. A null or empty text has only the bias and is never toxic.
-    Without a model (no labels) nothing is toxic and the score is null. Every row
-    is judged by itself. Extra columns, whatever their names, play no part.
+    the toxic rows. A null or empty text has only the bias and is never toxic;
+    texts of any length count whole. Without a model (no labels) nothing is toxic
+    and the score is null. Every row is judged by itself, repeated ones alike; a
+    score equal to the threshold is toxic. Extra columns, whatever their names,
+    play no part; an empty table gives no rows.
     """
     own = [F.col(f"`{c}`") for c in docs.columns]
     if model is None:

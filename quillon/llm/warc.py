@@ -13,6 +13,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs  # noqa: F401 - as pa.fs
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -94,15 +95,15 @@ def archive_frames(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES, diction
     nothing is shuffled and a task that is run again gives the same bytes.
 
     A null or empty page makes a record with an empty block, a null URL one
-    without a target; every row, repeated ones too, has its record. Other columns
-    are ignored; an empty table gives no archive.
+    without a target; every row, repeated ones too, has its record; pages of any
+    length are one record. Ties play no part. page_id is an integer. Other
+    columns, whatever their names, are ignored; an empty table gives no archive.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number, rows, held = TaskContext.get().partitionId(), 0, [], 0
         for batch in batches:
-            for i in range(batch.num_rows):
-                page, url, html = (batch.column(j)[i].as_py() for j in range(3))
+            for page, url, html in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 rows.append((page, record(page, url, html)))
                 held += len(rows[-1][1])
                 if held >= archive_bytes:
@@ -117,33 +118,34 @@ def archive_frames(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES, diction
 def write_archives(frames_: DataFrame, folder: str) -> DataFrame:
     """Write the archives as files of ``folder``, which all executors share; returns (archive, bytes, records).
 
+    folder is a path or a URI of any file system that Arrow knows (file, s3, gs, hdfs).
     A file is written under a name of the task's own and renamed when it is whole,
     so lost and repeated tasks leave no torn or double file.
     """
-    import os
-
-    path = folder.removeprefix("file://")
+    uri = folder if "://" in folder else f"file://{folder}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.makedirs(path, exist_ok=True)
+        fs, path = pa.fs.FileSystem.from_uri(uri)
+        fs.create_dir(path, recursive=True)
         name, out, size, records, tmp = None, None, 0, 0, ""
         done: list[tuple[str, int, int]] = []
 
         def close() -> None:
             if out is not None:
                 out.close()
-                os.replace(tmp, f"{path}/{name}")
+                fs.move(tmp, f"{path}/{name}")
                 done.append((name, size, records))
 
         for batch in batches:
-            for archive, frame in zip(batch.column("archive").to_pylist(), batch.column("frame").to_pylist(), strict=True):
+            frame = batch.column("frame")
+            for i, archive in enumerate(batch.column("archive").to_pylist()):
                 if archive != name:
                     close()
                     name, size, records = archive, 0, -1
                     tmp = f"{path}/.{archive}.{uuid.uuid4().hex}"
-                    out = open(tmp, "wb")  # noqa: SIM115
-                out.write(frame)
-                size, records = size + len(frame), records + 1
+                    out = fs.open_output_stream(tmp)
+                out.write(frame[i].as_buffer())
+                size, records = size + len(frame[i].as_buffer()), records + 1
         close()
         if done:
             yield pa.record_batch([pa.array(c) for c in zip(*done, strict=True)], names=["archive", "bytes", "records"])

@@ -1,8 +1,10 @@
 """The corpus pipeline, stage by stage and as a whole."""
 
+import os
 import random
 
 import corpus_pipeline
+from quillon.sources.files import shared_dir
 
 
 def sentence(rng, n):
@@ -40,10 +42,23 @@ def test_stages_take_effect(spark, tmp_path):
     assert item not in seen[3][204].text and seen[3][204].n_chars == len(seen[3][204].text)
     assert all(seen[3][i].text == t for i, t in clean.items())
     assert {i for i in seen[4]} == {i for i, r in seen[3].items() if r.text}
+    made = lambda: set(os.listdir(shared_dir(spark).removeprefix("file://")))
+    before = made()
     whole = corpus_pipeline.run(spark, path)
+    # what the stages wrote on their way is gone
+    assert {n.partition("-")[0] for n in made() - before} == {"pipeline"}
     assert sorted(whole.collect()) == sorted(kept.collect())
 
 
+def test_long_texts_and_ties(spark, tmp_path):
+    """A very long text passes whole; of equal texts, the one of the smaller id stays."""
+    rng = random.Random(11)
+    long, short = " ".join(f"w{rng.randrange(90000)}" for _ in range(200_000)), sentence(rng, 7)
+    path = folder(spark, str(tmp_path / "t"), [(2, long, "en", "s", len(long)), (1, long, "en", "s", len(long)), (None, short, "en", "s", 1), (5, short, "en", "s", 1)], [], [])
+    got = corpus_pipeline.run(spark, path).collect()
+    assert {r.doc_id for r in got} == {None, 1} and sum(r.n_words for r in got if r.doc_id == 1) == 200_000
+
+
 def test_odd_tables(spark, tmp_path):
     names = "doc_id long, text string, lang string, removed_lines int, contaminated string, spans string, n_chars int, id long, rank int"
     odd = [(None, "a b c\n\n", None, 1, "x", "y", 7, 1, 1), (1, None, "en", 1, "x", "y", None, 1, 1), (2, "", "en", None, None, None, 0, None, 1), (3, "a b", "en", 1, "x", "y", 3, 1, 1), (3, "a b", "en", 1, "x", "y", 3, 1, 1)]
