@@ -17,11 +17,6 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+", -1), lambda t: (t != "") & (F.octet_length(t) <= MAX_TOKEN))
 
 
-def flat_text(payload: Column) -> Column:
-    """The string values of a flat JSON object of strings, joined by a space."""
-    return F.array_join(F.map_values(F.from_json(payload, "map<string,string>")), " ")
-
-
 def _strings(value: object) -> list[str]:
     if isinstance(value, str):
         return [value]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -14,6 +14,8 @@ from ..functions.text import tokens
 from ..types import InvalidArgument
 
 K1, B = 1.2, 0.75
+#: Folders that a stored index's terms are spread over.
+BUCKETS = 64
 
 
 @dataclass(frozen=True)
@@ -58,6 +60,66 @@ def statistics(rows: DataFrame) -> DataFrame:
     return docs.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
 
 
+def placed_postings(rows: DataFrame) -> DataFrame:
+    """(term, id, dl, positions) of rows (id, text): postings that phrases can be found in."""
+    docs = rows.where("text is not null").select("id", tokens(F.col("text")).alias("t"))
+    each = docs.select("id", F.size("t").alias("dl"), F.posexplode("t").alias("pos", "term"))
+    return each.groupBy("id", "term").agg(F.first("dl").alias("dl"), F.array_sort(F.collect_list("pos")).alias("positions")).select("term", "id", "dl", "positions")
+
+
+def lengths(rows: DataFrame) -> DataFrame:
+    """(id, dl) of rows (id, text) whose text isn't null."""
+    return rows.where("text is not null").select("id", F.size(tokens(F.col("text"))).alias("dl"))
+
+
+def write_index(rows: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Store postings by term, so that a search reads its terms' folders alone, and the texts' lengths."""
+    own = placed_postings(rows).withColumn("bucket", _bucket(F.col("term"), buckets))
+    own.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+    lengths(rows).write.parquet(f"{path}/lengths")
+
+
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(postings, lengths) as stored."""
+    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths")
+
+
+def search_index(postings_: DataFrame, lengths_: DataFrame, text: str, k: int | None = None, k1: float = K1, b: float = B, buckets: int = BUCKETS) -> DataFrame:
+    """As :func:`bm25`, from postings (term, id, dl, positions[, bucket]) and lengths (id, dl)."""
+    clauses = parse(text)
+    terms = sorted({t for c in clauses for t in c.terms})
+    if not any(not c.must_not for c in clauses) or k == 0:
+        return postings_.sparkSession.createDataFrame([], f"id {dict(postings_.dtypes)['id']}, score double")
+    own = postings_.where(F.col("term").isin(*terms))
+    if "bucket" in postings_.columns:
+        at = postings_.sparkSession.range(1).select(*[_bucket(F.lit(t), buckets) for t in terms]).first()
+        own = own.where(F.col("bucket").isin(*set(at)))
+    found = own.groupBy("id").agg(F.max("dl").alias("dl"), *[F.max(F.when(F.col("term") == t, F.col("positions"))).alias(f"at{i}") for i, t in enumerate(terms)])
+    place = {t: F.col(f"at{i}") for i, t in enumerate(terms)}
+    phrases = {c.terms: f"p{i}" for i, c in enumerate(c for c in clauses if len(c.terms) > 1)}
+    counted = found.select("id", "dl", *[F.coalesce(F.size(place[t]), F.lit(0)).alias(f"tf{i}") for i, t in enumerate(terms)], *[F.coalesce(_follow(p, place), F.lit(False)).alias(name) for p, name in phrases.items()])
+    counted = counted.withColumns({f"tf{i}": F.greatest(F.col(f"tf{i}"), F.lit(0)) for i in range(len(terms))})
+    df = own.groupBy().agg(*[F.count(F.when(F.col("term") == t, True)).alias(f"df{i}") for i, t in enumerate(terms)])
+    stats = lengths_.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).crossJoin(F.broadcast(df))  # one row each
+    return _scored(counted, stats, clauses, terms, phrases, k, k1, b)
+
+
+def _follow(phrase: tuple[str, ...], place: dict[str, Column]) -> Column:
+    """Whether the terms stand one after the other somewhere."""
+    return F.exists(place[phrase[0]], lambda p: _all([F.array_contains(place[t], p + i) for i, t in enumerate(phrase)]))
+
+
+def _all(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out & c
+    return out
+
+
 def _count(term: str) -> Column:
     return F.size(F.filter("t", lambda x: x == term))
 
@@ -78,7 +140,12 @@ def bm25(rows: DataFrame, text: str, k: int | None = None, k1: float = K1, b: fl
     phrases = {c.terms: f"p{i}" for i, c in enumerate(c for c in clauses if len(c.terms) > 1)}
     counted = docs.select("id", F.size("t").alias("dl"), *[_count(t).alias(f"tf{i}") for i, t in enumerate(terms)], *[F.contains(F.concat(F.lit(" "), F.array_join("t", " "), F.lit(" ")), F.lit(f" {' '.join(p)} ")).alias(name) for p, name in phrases.items()])
     stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.sum((F.col(f"tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))])
-    joined = counted.crossJoin(F.broadcast(stats))  # one row
+    return _scored(counted, stats, clauses, terms, phrases, k, k1, b)
+
+
+def _scored(counted: DataFrame, stats: DataFrame, clauses: list[Clause], terms: list[str], phrases: dict[tuple[str, ...], str], k: int | None, k1: float, b: float) -> DataFrame:
+    """Scores of (id, dl, a tf for each term, a flag for each phrase), with stats, one row (n, avgdl, a df for each term)."""
+    joined = counted.crossJoin(F.broadcast(stats))
     at = {t: i for i, t in enumerate(terms)}
 
     def has(c: Clause):
@@ -112,5 +179,5 @@ def fuse_ranks(near: DataFrame, found: DataFrame, k: int, rrf_k: float = 60.0) -
 
 
 def hybrid(near: DataFrame, found: DataFrame, k: int, rrf_k: float = 60.0) -> DataFrame:
-    """As fuse_ranks. Callers hand in the best 2k of each list: at most 2 * MAX_K rows meet in a window."""
+    """As fuse_ranks. Callers hand in the best 2k of each list, k being at most MAX_K, so at most 4 * MAX_K rows meet in a window."""
     return fuse_ranks(near, found, k, rrf_k)

@@ -1,9 +1,8 @@
-"""Layered proximity graphs: one for each partition, kept as a table of blobs, searched side by side."""
+"""Layered proximity graphs: one for each part of the rows, kept as a table of blobs, searched side by side."""
 
 from __future__ import annotations
 
-import heapq
-import pickle
+import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,94 +10,167 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.distance import pairwise
+from ..functions.distance import EPSILON, pairwise
 from ..functions.predicate import matches
 from ..types import Hnsw, Metric
 
-#: Vectors in a graph, and the highest layer.
-GRAPH_ROWS, TOP_LAYER = 20_000, 16
+#: Vectors in a graph, the highest layer, queries that go through a graph at a time, and queries that meet a graph in one place.
+GRAPH_ROWS, TOP_LAYER, LOCKSTEP, BLOCK = 20_000, 16, 256, 16_384
+
+
+def rough(metric: Metric, q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Distances of all q to all v by one product of matrices, L2 squared; they order as the exact ones do."""
+    d = -(q @ v.T)
+    if metric is Metric.L2:
+        return (q * q).sum(1)[:, None] + 2 * d + (v * v).sum(1)[None, :]
+    if metric is Metric.COSINE:
+        return 1 + d / (np.sqrt((q * q).sum(1))[:, None] * np.sqrt((v * v).sum(1))[None, :] + EPSILON)
+    return d
 
 
 class Graph:
-    """A hierarchical small-world graph over the rows of ``vectors``."""
+    """A hierarchical small-world graph over the rows of ``vectors``.
+
+    Rows come in one after the other; each is linked with the m nearest of those
+    before it in its layers, and of the links of a row the nearest are kept (2 m
+    in layer 0, m above). The nearest are found exactly, by products of blocks,
+    which is what an insertion with an unbounded beam finds. ``links[l]`` has a
+    line of row numbers, filled up with -1, for every row.
+    """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, config: Hnsw, metric: Metric, seed: int = 42):
         self.ids, self.vectors, self.config, self.metric = ids, vectors, config, metric
         draws = np.random.default_rng(seed).random(len(ids))
-        self.layer = np.minimum(np.floor(-np.log(np.maximum(draws, 1e-12)) / np.log(config.m)), TOP_LAYER).astype(int)
-        self.links: list[list[list[int]]] = []
-        self.entry = -1
-        for i in range(len(ids)):
-            self._insert(i)
-
-    def _distances(self, q: np.ndarray, at: list[int]) -> list[float]:
-        return pairwise(self.metric, self.vectors[at], q).tolist()
-
-    def _greedy(self, q: np.ndarray, at: int, layer: int) -> int:
-        best = self._distances(q, [at])[0]
-        while self.links[at][layer]:
-            near = self.links[at][layer]
-            d = self._distances(q, near)
-            i = int(np.argmin(d))
-            if d[i] >= best:
-                break
-            best, at = d[i], near[i]
+        layer = np.minimum(np.floor(-np.log(np.maximum(draws, 1e-12)) / np.log(config.m)), TOP_LAYER).astype(int)
+        self.entry = int(layer.argmax()) if len(ids) else -1
+        self.links = [self._layer(np.flatnonzero(layer >= n), config.m * (1 if n else 2)) for n in range(int(layer.max(initial=-1)) + 1)]
+
+    def _layer(self, rows: np.ndarray, most: int) -> np.ndarray:
+        """The links of the rows of a layer."""
+        out = np.full((len(self.ids), most), -1, dtype=np.int32)
+        v, m = self.vectors[rows], self.config.m
+        ends, others, dists = [], [], []
+        for at in range(0, len(rows), 512):
+            own = np.arange(at, min(at + 512, len(rows)))
+            d = rough(self.metric, v[own], v[: own[-1] + 1])
+            d[np.arange(d.shape[1])[None, :] >= own[:, None]] = np.inf
+            near = np.argpartition(d, min(m, d.shape[1]) - 1, axis=1)[:, :m]
+            far = np.take_along_axis(d, near, 1)
+            known = np.isfinite(far)
+            ends.append(np.repeat(own, known.sum(1)))
+            others.append(near[known])
+            dists.append(far[known])
+        if not ends:
+            return out
+        a, b, d = np.concatenate(ends), np.concatenate(others), np.concatenate(dists)
+        a, b, d = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([d, d])
+        by = np.lexsort((b, d, a))
+        a, b = a[by], b[by]
+        nth = np.arange(len(a)) - np.searchsorted(a, a)
+        keep = nth < most
+        out[rows[a[keep]], nth[keep]] = rows[b[keep]]
+        return out
+
+    def dumps(self) -> bytes:
+        """The graph as the bytes of its arrays."""
+        sink = io.BytesIO()
+        np.savez(sink, ids=self.ids, vectors=self.vectors, entry=self.entry, **{f"l{n}": x for n, x in enumerate(self.links)})
+        return sink.getvalue()
+
+    @classmethod
+    def loads(cls, blob: bytes, config: Hnsw, metric: Metric) -> Graph:
+        """Undoes :meth:`dumps`."""
+        own = cls.__new__(cls)
+        with np.load(io.BytesIO(blob)) as z:
+            own.ids, own.vectors, own.entry = z["ids"], z["vectors"], int(z["entry"])
+            own.links = [z[f"l{n}"] for n in range(sum(k[0] == "l" for k in z.files))]
+        own.config, own.metric = config, metric
+        return own
+
+    def _to(self, q: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Rough distances of each query to its own rows; those of -1 are infinite."""
+        v = self.vectors[rows]
+        d = -np.einsum("qd,qnd->qn", q, v)
+        if self.metric is Metric.L2:
+            d = (q * q).sum(1)[:, None] + 2 * d + np.einsum("qnd,qnd->qn", v, v)
+        elif self.metric is Metric.COSINE:
+            d = 1 + d / (np.sqrt((q * q).sum(1))[:, None] * np.sqrt(np.einsum("qnd,qnd->qn", v, v)) + EPSILON)
+        return np.where(rows >= 0, d, np.inf)
+
+    def search(self, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of the query, id, score) of about the k nearest of each query, nearest first."""
+        out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for at in range(0, len(queries) if self.entry >= 0 and k > 0 else 0, LOCKSTEP):
+            q = queries[at : at + LOCKSTEP]
+            n, x = self._beams(q, self._descend(q), max(self.config.ef_search, k))
+            d = pairwise(self.metric, self.vectors[x], q[n])
+            by = np.lexsort((self.ids[x], d, n))
+            n, x, d = n[by], x[by], d[by]
+            top = np.arange(len(n)) - np.searchsorted(n, n) < k
+            out.append((n[top] + at, self.ids[x[top]], d[top]))
+        return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+    def _descend(self, q: np.ndarray) -> np.ndarray:
+        """Where each query enters layer 0: greedily from the entry through the upper layers."""
+        at = np.full(len(q), self.entry)
+        best = self._to(q, at[:, None])[:, 0]
+        for links in self.links[:0:-1]:
+            moving = np.arange(len(q))
+            while len(moving):
+                near = links[at[moving]]
+                d = self._to(q[moving], near)
+                i = d.argmin(1)
+                d, near = d[np.arange(len(i)), i], near[np.arange(len(i)), i]
+                better = d < best[moving]
+                moving = moving[better]
+                best[moving], at[moving] = d[better], near[better]
         return at
 
-    def _beam(self, q: np.ndarray, start: int, width: int, layer: int) -> list[tuple[float, int]]:
-        d = self._distances(q, [start])[0]
-        open_, found, seen = [(d, start)], [(-d, start)], {start}
-        while open_:
-            d, at = heapq.heappop(open_)
-            if d > -found[0][0] and len(found) >= width:
+    def _beams(self, q: np.ndarray, start: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """(number of the query, row) of the beams in layer 0, all queries in step."""
+        n, links = len(q), self.links[0]
+        beam = np.full((n, width), -1)
+        beam[:, 0] = start
+        dist = np.full((n, width), np.inf)
+        dist[:, 0] = self._to(q, start[:, None])[:, 0]
+        done = np.ones((n, width), dtype=bool)
+        done[:, 0] = False
+        seen = np.zeros((n, len(self.ids) + 1), dtype=bool)
+        seen[np.arange(n), start] = True
+        seen[:, -1] = True
+        active = np.arange(n)
+        while len(active):
+            waiting = np.where(done[active], np.inf, dist[active])
+            i = waiting.argmin(1)
+            some = np.isfinite(waiting[np.arange(len(i)), i])
+            active, i = active[some], i[some]
+            if not len(active):
                 break
-            new = [x for x in self.links[at][layer] if x not in seen]
-            seen.update(new)
-            if not new:
-                continue
-            for dist, x in zip(self._distances(q, new), new, strict=True):
-                if len(found) < width or dist < -found[0][0]:
-                    heapq.heappush(open_, (dist, x))
-                    heapq.heappush(found, (-dist, x))
-                    if len(found) > width:
-                        heapq.heappop(found)
-        return sorted((-d, x) for d, x in found)
-
-    def _insert(self, i: int) -> None:
-        top, q = int(self.layer[i]), self.vectors[i]
-        self.links.append([[] for _ in range(top + 1)])
-        if self.entry < 0:
-            self.entry = i
-            return
-        at, highest = self.entry, int(self.layer[self.entry])
-        for layer in range(highest, top, -1):
-            at = self._greedy(q, at, layer)
-        for layer in range(min(top, highest), -1, -1):
-            near = self._beam(q, at, self.config.ef_construction, layer)
-            at = near[0][1]
-            most = self.config.m * (2 if layer == 0 else 1)
-            for _, x in near[: self.config.m]:
-                self.links[i][layer].append(x)
-                back = self.links[x][layer]
-                back.append(i)
-                if len(back) > most:
-                    d = self._distances(self.vectors[x], back)
-                    self.links[x][layer] = [back[j] for j in np.argsort(d, kind="stable")[:most]]
-        if top > highest:
-            self.entry = i
-
-    def search(self, q: np.ndarray, k: int) -> list[tuple[int, float]]:
-        """(id, score) of about the k nearest."""
-        if self.entry < 0 or k < 1:
-            return []
-        at = self.entry
-        for layer in range(int(self.layer[self.entry]), 0, -1):
-            at = self._greedy(q, at, layer)
-        return [(int(self.ids[x]), d) for d, x in self._beam(q, at, max(self.config.ef_search, k), 0)]
+            done[active, i] = True
+            near = links[beam[active, i]]
+            near = np.where(seen[active[:, None], near], -1, near)
+            seen[active[:, None], near] = True
+            d = self._to(q[active], near)
+            all_d = np.concatenate([dist[active], d], axis=1)
+            by = np.argsort(all_d, axis=1, kind="stable")[:, :width]
+            dist[active] = np.take_along_axis(all_d, by, 1)
+            beam[active] = np.take_along_axis(np.concatenate([beam[active], near], axis=1), by, 1)
+            done[active] = np.take_along_axis(np.concatenate([done[active], near < 0], axis=1), by, 1)
+        known = np.isfinite(dist)
+        return np.repeat(np.arange(n), known.sum(1)), beam[known]
+
+
+def _vectors(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(flat.flatten()).astype(np.float64).reshape(len(column), -1)
 
 
 def build(rows: DataFrame, config: Hnsw | None = None, metric: Metric | str = Metric.L2, graph_rows: int = GRAPH_ROWS) -> DataFrame:
-    """(part, n, blob): graphs of at most ``graph_rows`` rows (id, vector); write the result as a table."""
+    """(part, n, centre, blob): graphs of at most ``graph_rows`` rows (id, vector); write the result as a table.
+
+    centre is the mean of a graph's vectors. Rows that are near each other should
+    come in one partition (as those of one cluster), if searches are to be routed.
+    """
     config, metric = config or Hnsw(), Metric.parse(metric)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,50 +180,71 @@ def build(rows: DataFrame, config: Hnsw | None = None, metric: Metric | str = Me
 
         def graph() -> pa.RecordBatch:
             i, v = np.concatenate(ids), np.concatenate(vectors)
-            return pa.record_batch([pa.array([int(i[0])]), pa.array([len(i)]), pa.array([pickle.dumps(Graph(i, v, config, metric))], pa.binary())], names=["part", "n", "blob"])
+            return pa.record_batch([pa.array([int(i[0])]), pa.array([len(i)]), pa.array([v.mean(0).tolist()]), pa.array([Graph(i, v, config, metric).dumps()], pa.binary())], names=["part", "n", "centre", "blob"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, graph_rows):
-                part = batch.slice(at, graph_rows)
+            at = 0
+            while at < batch.num_rows:
+                part = batch.slice(at, graph_rows - held)
                 ids.append(np.asarray(part.column("id")).astype(np.int64))
-                vectors.append(np.asarray(part.column("vector").flatten()).astype(np.float64).reshape(part.num_rows, -1))
-                held += part.num_rows
+                vectors.append(_vectors(part.column("vector")))
+                held, at = held + part.num_rows, at + part.num_rows
                 if held >= graph_rows:
                     yield graph()
                     ids, vectors, held = [], [], 0
         if held:
             yield graph()
 
-    return rows.where("vector is not null").select(F.col("id").cast("long"), "vector").mapInArrow(run, "part long, n long, blob binary")
+    return rows.where("vector is not null and id is not null").select(F.col("id").cast("long"), "vector").mapInArrow(run, "part long, n long, centre array<double>, blob binary")
 
 
-def search_batch(graphs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def search_batch(graphs: DataFrame, queries: DataFrame, k: int, config: Hnsw | None = None, metric: Metric | str = Metric.L2, nprobe: int | None = None) -> DataFrame:
     """(query_id, id, score, rank): about the k nearest of every query (id, vector).
 
-    Every graph meets blocks of queries; a window merges the graphs' results.
+    Queries go to the graphs, in blocks: a graph moves once for each ``BLOCK``
+    queries that it meets, and is read once for them. With nprobe a query meets
+    only the graphs with the nearest centres, else all of them. A window merges
+    the graphs' results.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int, Graph] | None = None
+    config, metric, spark = config or Hnsw(), Metric.parse(metric), graphs.sparkSession
+    # a number and a vector for each GRAPH_ROWS vectors
+    known = graphs.select("part", "centre").orderBy("part").collect()
+    if not known:
+        return spark.createDataFrame([], "query_id long, id long, score double, rank int")
+    parts, centres = np.array([r["part"] for r in known]), np.array([r["centre"] for r in known])
+    probes = min(nprobe or len(parts), len(parts))
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                part = batch.column("part")[i].as_py()
-                if held is None or held[0] != part:
-                    held = (part, pickle.loads(batch.column("blob")[i].as_py()))
-                out = [(q["id"], x, d) for q in batch.column("queries")[i].as_py() for x, d in held[1].search(np.asarray(q["vector"], dtype=np.float64), k)[:k]]
-                yield pa.record_batch([pa.array(c, kind) for c, kind in zip(list(zip(*out, strict=True)) or [[]] * 3, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "id", "score"])
-
-    blocks = queries.where("vector is not null").groupBy(F.floor(F.monotonically_increasing_id() / 256).alias("block")).agg(F.collect_list(F.struct(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))).alias("queries"))
-    near = graphs.select("part", "blob").crossJoin(blocks.select("queries")).mapInArrow(run, "query_id long, id long, score double")
+            if not batch.num_rows:
+                continue
+            v = _vectors(batch.column("vector"))
+            near = np.argsort(rough(metric, v, centres), axis=1, kind="stable")[:, :probes]
+            take = pa.array(np.repeat(np.arange(len(v)), probes))
+            yield pa.record_batch([batch.column("query_id").take(take), batch.column("vector").take(take), batch.column("block").take(take), pa.array(parts[near.ravel()])], names=["query_id", "vector", "block", "part"])
+
+    def meet(key: tuple, own: pa.Table, asked: pa.Table) -> pa.Table:
+        n = i = np.zeros(0, np.int64)
+        d = np.zeros(0)
+        if own.num_rows and asked.num_rows:
+            n, i, d = Graph.loads(own.column("blob")[0].as_buffer(), config, metric).search(_vectors(asked.column("vector")), k)
+        return pa.table([asked.column("query_id").take(pa.array(n)), pa.array(i), pa.array(d)], names=["query_id", "id", "score"])
+
+    asked = queries.where("vector is not null and id is not null").select(F.col("id").cast("long").alias("query_id"), "vector")
+    blocks = asked.count() // BLOCK + 1
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    routed = asked.mapInArrow(route, f"query_id long, vector {dict(asked.dtypes)['vector']}, block int, part long")
+    copies = graphs.select("part", "blob", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    near = copies.groupBy("part", "block").cogroup(routed.groupBy("part", "block")).applyInArrow(meet, "query_id long, id long, score double")
     w = Window.partitionBy("query_id").orderBy("score", "id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def search(graphs: DataFrame, rows: DataFrame, query: list[float], k: int, predicate: dict | None = None) -> DataFrame:
+def search(graphs: DataFrame, rows: DataFrame, query: list[float], k: int, predicate: dict | None = None, config: Hnsw | None = None, metric: Metric | str = Metric.L2) -> DataFrame:
     """(id, score) of one query. The filter applies after the search, so fewer than k rows may come."""
     spark = graphs.sparkSession
     one = spark.createDataFrame([(0, [float(x) for x in query])], "id long, vector array<double>")
-    near = search_batch(graphs, one, k).select("id", "score")
+    near = search_batch(graphs, one, k, config, metric).select("id", "score")
     live = rows.where(matches(F.col("payload"), predicate)) if predicate is not None else rows
     return near.join(live.select("id"), "id", "left_semi").orderBy("score", "id").limit(k)
 

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.distance import EPSILON, pairwise
@@ -53,11 +53,11 @@ def nearest_of(matrix: np.ndarray, metric: Metric):
 
 
 def _matrix(centroids: DataFrame) -> np.ndarray:
-    rows = sorted(centroids.collect(), key=lambda r: r["cluster"])
-    m = np.array([r["centroid"] for r in rows], dtype=np.float64)
-    if m.nbytes > CENTROID_BYTES:
+    size = centroids.agg(F.coalesce(F.sum(F.size("centroid").cast("long") * 8), F.lit(0)).alias("bytes")).first()["bytes"]
+    if size > CENTROID_BYTES:
         raise InvalidArgument("too many centroids to broadcast")
-    return m
+    rows = sorted(centroids.collect(), key=lambda r: r["cluster"])
+    return np.array([r["centroid"] for r in rows], dtype=np.float64)
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -103,16 +103,16 @@ def cluster_means(assigned: DataFrame) -> DataFrame:
     return sums.groupBy("cluster").agg(F.max("n").alias("n"), F.transform(pairs, lambda p: p["mean"]).alias("centroid"))
 
 
-def kmeans(rows: DataFrame, nlist: int, metric: Metric | str = Metric.L2, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+def kmeans(rows: DataFrame, nlist: int, metric: Metric | str = Metric.L2, rounds: int = ROUNDS, tolerance: float = TOLERANCE, first: str | None = None) -> DataFrame:
     """Centroids by Lloyd's rounds over all rows.
 
-    The vectors with the smallest hashes of their ids begin. A cluster that loses
+    The vectors with the smallest hashes of their ids begin, or the first by the column ``first``. A cluster that loses
     all its vectors begins anew at the largest cluster's previous centroid. Only
     centroids (nlist of them) come to the driver.
     """
     spark = rows.sparkSession
     begin = rows.withColumn("__h", F.xxhash64("id"))
-    centroids = np.array(_first(begin, nlist, "__h"), dtype=np.float64)
+    centroids = np.array(_first(begin, nlist, first or "__h"), dtype=np.float64)
     schema = "cluster int, centroid array<double>"
     for _ in range(rounds if len(centroids) else 0):
         means = {r["cluster"]: (r["n"], r["centroid"]) for r in cluster_means(assign(rows.select("id", "vector"), spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centroids)], schema), metric)).collect()}
@@ -214,6 +214,91 @@ def sq8_decoded(codes: Column, low: Column, scale: Column) -> Column:
 
 def sq8_rows(rows: DataFrame, quantizer: DataFrame) -> DataFrame:
     """rows with ``codes`` and with ``vector`` as it is decoded."""
+    return sq8_vectors(sq8_codes(rows, quantizer).select(*[c for c in rows.columns if c != "vector"], "codes"), quantizer).select(*rows.columns, "codes")
+
+
+def sq8_codes(rows: DataFrame, quantizer: DataFrame) -> DataFrame:
+    """rows with ``codes``."""
     q = rows.crossJoin(F.broadcast(quantizer))  # one row
-    coded = q.withColumn("codes", sq8_encoded(F.col("vector"), F.col("low"), F.col("scale")))
-    return coded.withColumn("vector", sq8_decoded(F.col("codes"), F.col("low"), F.col("scale"))).drop("low", "scale")
+    return q.withColumn("codes", sq8_encoded(F.col("vector"), F.col("low"), F.col("scale"))).drop("low", "scale")
+
+
+def sq8_vectors(coded: DataFrame, quantizer: DataFrame) -> DataFrame:
+    """coded with ``vector``, decoded from ``codes``."""
+    q = coded.crossJoin(F.broadcast(quantizer))
+    return q.withColumn("vector", sq8_decoded(F.col("codes"), F.col("low"), F.col("scale"))).drop("low", "scale")
+
+
+class Lists:
+    """Inverted lists in a folder, kept current by deltas.
+
+        centroids/, quantizer/   as trained
+        base/cluster=<c>/        (id, vector or codes, payload, lsn)
+        delta/<n>/lists/...      rows written later, assigned to the same centroids
+        delta/<n>/gone           (id, upto): the id's rows of an lsn up to that no longer count
+
+    Inserts, overwrites and deletions so cost what they change, not a rebuild; the
+    lists of a cluster are the base's and the deltas' rows less the gone ones.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, deltas: int, sq8: bool, metric: Metric | str = Metric.L2):
+        self.spark, self.path, self.deltas, self.sq8, self.metric = spark, path, deltas, sq8, Metric.parse(metric)
+
+    @property
+    def centroids(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/centroids")
+
+    @property
+    def quantizer(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/quantizer")
+
+    def _write(self, rows: DataFrame, path: str) -> None:
+        own = assign(rows, self.centroids, self.metric).drop("distance")
+        if self.sq8:
+            own = sq8_codes(own, self.quantizer).drop("vector")
+        own.repartition("cluster").write.partitionBy("cluster").parquet(path)
+
+    def create(self, rows: DataFrame, centroids: DataFrame, train: DataFrame | None = None) -> Lists:
+        """Write the lists of rows (id, vector, payload, lsn); train: what the codes are fitted to."""
+        centroids.write.parquet(f"{self.path}/centroids")
+        if self.sq8:
+            sq8_fit(rows if train is None else train).write.parquet(f"{self.path}/quantizer")
+        self._write(rows, f"{self.path}/base")
+        return self
+
+    def append(self, changed: DataFrame, live: DataFrame, upto: int) -> Lists:
+        """Add a delta: rows that are live, and ids whose rows of an lsn up to ``upto`` are gone."""
+        at = f"{self.path}/delta/{self.deltas:06d}"
+        self._write(live.select("id", "vector", "payload", "lsn"), f"{at}/lists")
+        changed.select("id", F.lit(upto).cast("long").alias("upto")).distinct().write.parquet(f"{at}/gone")
+        self.deltas += 1
+        return self
+
+    def physical(self) -> DataFrame:
+        """All rows, gone ones too, with their cluster."""
+        kind = "codes array<smallint>" if self.sq8 else "vector array<float>"
+        read = self.spark.read.schema(f"id long, {kind}, payload string, lsn long, cluster int")
+        out = read.parquet(f"{self.path}/base")
+        for n in range(self.deltas):
+            out = out.unionByName(read.parquet(f"{self.path}/delta/{n:06d}/lists"))
+        return out
+
+    def rows(self, clusters: list[int] | None = None, but: DataFrame | None = None) -> DataFrame:
+        """(id, vector, payload, lsn, cluster) of the live rows; of some clusters only those are read. but: ids to leave out."""
+        out = self.physical()
+        if clusters is not None:
+            out = out.where(F.col("cluster").isin(*clusters))
+        if self.deltas:
+            gone = self.spark.read.parquet(*[f"{self.path}/delta/{n:06d}/gone" for n in range(self.deltas)])
+            gone = gone.groupBy(F.col("id").alias("gid")).agg(F.max("upto").alias("upto"))
+            out = out.join(gone, (F.col("id") == F.col("gid")) & (F.col("lsn") <= F.col("upto")), "left_anti")
+        if but is not None:
+            out = out.join(but.select("id"), "id", "left_anti")
+        return sq8_vectors(out, self.quantizer) if self.sq8 else out
+
+    def search(self, query: list[float], k: int, nprobe: int, predicate: dict | Column | None = None, include_payload: bool = False, but: DataFrame | None = None, more: DataFrame | None = None) -> DataFrame:
+        """(id, score[, payload]): the k nearest within the nprobe nearest clusters, and among ``more`` (id, vector, payload)."""
+        rows = self.rows(probed(self.centroids, query, nprobe, self.metric), but).select("id", F.col("vector").cast("array<double>").alias("vector"), "payload")
+        if more is not None:
+            rows = rows.unionByName(more.select("id", F.col("vector").cast("array<double>").alias("vector"), "payload"))
+        return knn(rows, query, k, self.metric, predicate, include_payload)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import asdict, replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,69 +65,136 @@ class Collection:
         tables.export_parquet(self._searched(), path)
 
     def build_index(self) -> None:
-        """(Re)build the index over the live rows as a new version, and point to it; this is compaction, too."""
-        at, index = f"{self.folder}/index/{self.log.last_lsn():020d}", self.spec.index
-        files.delete(self.spark, at)
-        rows = self.rows()
+        """(Re)build the index over the live rows as a new version, then point to it; this is compaction, too.
+
+        Readers of the version before go on reading it: it is retired, and deleted
+        with what the log retires.
+        """
+        last, index, old = self.log.last_lsn(), self.spec.index, self._pointer("_INDEX")
+        at, rows = f"{self.folder}/index/{last:020d}-{uuid.uuid4().hex[:8]}", self.rows()
         if isinstance(index, Ivf):
             centroids = ivf.first_centroids(rows, index.nlist, "lsn") if index.train == "first" else ivf.kmeans(rows, index.nlist, self.spec.metric)
-            centroids.write.parquet(f"{at}/centroids")
-            centroids = self.spark.read.parquet(f"{at}/centroids")
-            if index.sq8:
-                train = rows.orderBy("lsn", "id").limit(index.nlist) if index.train == "first" else rows
-                ivf.sq8_fit(train).write.parquet(f"{at}/quantizer")
-            ivf.assign(rows, centroids, self.spec.metric).drop("distance").repartition("cluster").write.partitionBy("cluster").parquet(f"{at}/lists")
+            train = rows.orderBy("lsn", "id").limit(index.nlist) if index.train == "first" else None
+            ivf.Lists(self.spark, at, 0, index.sq8, self.spec.metric).create(rows, centroids, train)
         elif isinstance(index, Hnsw):
             graph.build(rows, index, self.spec.metric).write.parquet(f"{at}/graphs")
-        files.write_text(self.spark, f"{self.folder}/_INDEX", json.dumps({"path": at, "last_lsn": self.log.last_lsn()}))
-
-    def _index(self) -> str | None:
-        path = f"{self.folder}/_INDEX"
-        if isinstance(self.spec.index, Flat) or not files.exists(self.spark, path):
-            return None
-        now = json.loads(files.read_text(self.spark, path))
-        return now["path"] if now["last_lsn"] == self.log.last_lsn() else None
+        self._point("_INDEX", {"path": at, "last_lsn": last, "deltas": 0}, old)
+        if self.spec.fts:
+            self.build_text_index()
+
+    def build_text_index(self) -> None:
+        """(Re)build the postings of the live payloads as a new version, then point to it."""
+        last, old = self.log.last_lsn(), self._pointer("_TEXT")
+        at = f"{self.folder}/text/{last:020d}-{uuid.uuid4().hex[:8]}"
+        fulltext.write_index(_texts(self.rows()), at)
+        self._point("_TEXT", {"path": at, "last_lsn": last}, old)
+
+    def refresh_index(self) -> int:
+        """Bring the inverted lists up to date by a delta, without training or rebuilding; the number of ids that changed."""
+        now = self._pointer("_INDEX")
+        if now is None or not isinstance(self.spec.index, Ivf):
+            return 0
+        changed, last = self._changed(now), self.log.last_lsn()
+        if changed is None:
+            return 0
+        live = self.rows().join(changed, "id", "left_semi")
+        lists = self._lists(now).append(changed, live, now["last_lsn"])
+        self._point("_INDEX", now | {"last_lsn": last, "deltas": lists.deltas}, None)
+        return changed.count()
+
+    def tombstones(self) -> float:
+        """The share of the index's rows that are no longer live, or have been written anew; 0 without an index."""
+        now = self._pointer("_INDEX")
+        if now is None or isinstance(self.spec.index, Flat):
+            return 0.0
+        live = self.rows().select("id", "lsn")
+        if isinstance(self.spec.index, Ivf):
+            physical = self._lists(now).physical().select("id", "lsn")
+            n, left = physical.count(), physical.join(live, ["id", "lsn"], "left_semi").count()
+        else:
+            n = self.spark.read.parquet(f"{now['path']}/graphs").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+            left = live.where(F.col("lsn") <= now["last_lsn"]).count()
+        return (n - min(n, left)) / n if n else 0.0
+
+    def _pointer(self, name: str) -> dict | None:
+        path = f"{self.folder}/{name}"
+        return json.loads(files.read_text(self.spark, path)) if files.exists(self.spark, path) else None
+
+    def _point(self, name: str, to: dict, old: dict | None) -> None:
+        files.write_text(self.spark, f"{self.folder}/{name}", json.dumps(to))
+        if old:
+            self.log.retire([old["path"]])
+
+    def _changed(self, now: dict) -> DataFrame | None:
+        """(id): what has changed since the index; None where nothing has."""
+        return self.log.log(now["last_lsn"]).select("id").distinct() if now["last_lsn"] < self.log.last_lsn() else None
+
+    def _lists(self, now: dict) -> ivf.Lists:
+        return ivf.Lists(self.spark, now["path"], now["deltas"], self.spec.index.sq8, self.spec.metric)
 
     def _searched(self) -> DataFrame:
         """The live rows, with vectors as the index holds them."""
-        at, rows = self._index(), self.rows()
-        if at and isinstance(self.spec.index, Ivf) and self.spec.index.sq8:
-            return ivf.sq8_rows(rows, self.spark.read.parquet(f"{at}/quantizer"))
+        now, rows = self._pointer("_INDEX"), self.rows()
+        if now and isinstance(self.spec.index, Ivf) and self.spec.index.sq8:
+            return ivf.sq8_rows(rows, self._lists(now).quantizer)
         return rows
 
     def search(self, query: list[float], k: int = 10, filter: dict | None = None, include_payload: bool = False) -> DataFrame:  # noqa: A002
-        """(id, score[, payload]); exact wherever no index of the current rows has been built."""
+        """(id, score[, payload]); exact where no index has been built, and for rows written since."""
         check_k(k)
+        return self._search(query, k, filter, include_payload)
+
+    def _search(self, query: list[float], k: int, filter: dict | None, include_payload: bool = False) -> DataFrame:  # noqa: A002
         search.check_query(query, self.spec.dim)
-        at, index, metric = self._index(), self.spec.index, self.spec.metric
-        if at is None:
+        now, index, metric = self._pointer("_INDEX"), self.spec.index, self.spec.metric
+        if now is None or isinstance(index, Flat):
             return search.knn(self.rows(), query, k, metric, filter, include_payload)
+        changed = self._changed(now)
+        more = None if changed is None else self.rows().join(changed, "id", "left_semi")
         if isinstance(index, Ivf):
-            lists = self.spark.read.parquet(f"{at}/lists")
-            if index.sq8:
-                lists = ivf.sq8_rows(lists, self.spark.read.parquet(f"{at}/quantizer"))
-            return ivf.search(lists, self.spark.read.parquet(f"{at}/centroids"), query, k, index.nprobe, metric, filter, include_payload)
-        top = graph.search(self.spark.read.parquet(f"{at}/graphs"), self.rows(), query, k, filter)
+            return self._lists(now).search(query, k, index.nprobe, filter, include_payload, changed, more)
+        live = self.rows() if changed is None else self.rows().join(changed, "id", "left_anti")
+        # graphs still hold what has changed, so more of their rows are asked for; rebuild before that is most of them
+        wide = k if changed is None else k + min(changed.count(), 7 * k)
+        top = graph.search(self.spark.read.parquet(f"{now['path']}/graphs"), live, query, wide, filter, index, metric)
+        if more is not None:
+            top = top.unionByName(search.knn(more, query, k, metric, filter)).orderBy("score", "id").limit(k)
         return search.with_payload(top, self.rows()).orderBy("score", "id") if include_payload else top
 
-    def search_text(self, text: str, k: int = 10, rows: DataFrame | None = None) -> DataFrame:
-        """(id, score) by BM25 over the payloads' strings; no rows without full-text search."""
+    def search_text(self, text: str, k: int = 10, filter: dict | None = None) -> DataFrame:  # noqa: A002
+        """(id, score) by BM25 over the payloads' strings; no rows without full-text search. The filter applies before the top k.
+
+        Stored postings are searched where there are any; rows written since are
+        searched with them, and their earlier versions left out.
+        """
         if not self.spec.fts or not text.strip():
             return self.spark.createDataFrame([], "id long, score double")
-        rows = self.rows() if rows is None else rows
-        return fulltext.bm25(rows.where("payload is not null").select("id", deep_text("payload").alias("text")), text, k)
+        now = self._pointer("_TEXT")
+        live = self.rows() if filter is None else self.rows().where(search.matches(F.col("payload"), filter))
+        if now is None or filter is not None:
+            return fulltext.bm25(_texts(live), text, k)
+        postings, lengths = fulltext.read_index(self.spark, now["path"])
+        changed = self._changed(now)
+        if changed is not None:
+            new = _texts(self.rows().join(changed, "id", "left_semi"))
+            own = fulltext.placed_postings(new).withColumn("bucket", fulltext._bucket(F.col("term"), fulltext.BUCKETS))
+            postings = postings.join(changed, "id", "left_anti").unionByName(own)
+            lengths = lengths.join(changed, "id", "left_anti").unionByName(fulltext.lengths(new))
+        return fulltext.search_index(postings, lengths, text, k)
 
     def hybrid_search(self, query: list[float], text: str, k: int = 10, filter: dict | None = None, rrf_k: float = 60.0, filter_text: bool = False, include_payload: bool = False) -> DataFrame:  # noqa: A002
         """(id, score): the best 2k by vector and by text, fused. The filter holds for the text side only with filter_text."""
         check_k(k)
-        near = self.search(query, min(2 * k, 1024), filter)
-        rows = self.rows()
-        if filter_text and filter is not None:
-            rows = rows.where(search.matches(F.col("payload"), filter))
-        top = fulltext.hybrid(near, self.search_text(text, 2 * k, rows), k, rrf_k)
+        near = self._search(query, 2 * k, filter)
+        top = fulltext.hybrid(near, self.search_text(text, 2 * k, filter if filter_text else None), k, rrf_k)
         return search.with_payload(top, self.rows()).orderBy(F.desc("score"), "id") if include_payload else top
 
 
+def _texts(rows: DataFrame) -> DataFrame:
+    """(id, text) of the payloads."""
+    return rows.where("payload is not null").select("id", deep_text("payload").alias("text"))
+
+
 class Engine:
     """Creates, lists and drops collections under a folder, each described by a small file."""
 
@@ -165,7 +233,7 @@ class Engine:
         return [n for n in files.names(self.spark, self.folder) if files.exists(self.spark, self._spec_path(n))]
 
     def enable_fts(self, name: str) -> Collection:
-        """Full-text search for all rows, earlier ones too: it needs no index of its own."""
+        """Full-text search for all rows, earlier ones too; build_text_index stores their postings."""
         self._write(replace(self.collection(name).spec, fts=True))
         return self.collection(name)
 
@@ -173,6 +241,13 @@ class Engine:
         self._write(replace(self.collection(name).spec, binding=binding))
         return self.collection(name)
 
+    def register_namespace(self, namespace: str, missing_ok: bool = True) -> list[str]:
+        """Views of the enrichment tables that a catalog's namespace has, under their own names; which were found."""
+        found = tables.register_namespace(self.spark, namespace)
+        if not found and not missing_ok:
+            raise InvalidArgument(f"{namespace} has none of the enrichment tables")
+        return found
+
     def refresh(self, name: str) -> int:
         """Upsert the bound table's rows; the last lsn."""
         c = self.collection(name)

@@ -6,14 +6,15 @@ import re
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.distance import register_sql_functions
 from ..functions.predicate import matches
 from ..functions.text import deep_text
-from ..operators import fulltext, graph, ivf, ranking, search
+from ..operators import fulltext, graph, ivf, metrics, ranking, search
 from ..session import load
+from ..sources import files
 from ..sources.files import shared_dir
 from ..sources.tables import export_parquet, import_parquet, payload_of
 from ..streaming import staging
@@ -28,6 +29,7 @@ AS_OF, EPOCH = 1706745600, 1706745600
 NLIST, NPROBE, K, TOP = 16, 4, 10, 200
 #: Of NLIST trained clusters, those that the search for every row probes: recall of at least 0.9 against knn_batch.
 BATCH_NPROBE = 12
+GRAPH = Hnsw(16, 100, 64)
 WORDS = "the thtion idiot de"
 
 _QUERIES: dict[str, Query] = {}
@@ -63,6 +65,19 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_STORED: dict[tuple, str] = {}
+
+
+def _stored(spark: SparkSession, sf: str, table: str, name: str, build: Callable[[str], object]) -> str:
+    """The folder of an index over a table: built at its first use, kept while the table's files are the same."""
+    key = (spark.sparkContext.applicationId, name, files.signature(spark, f"{sf}/{table}.parquet"))
+    if key not in _STORED or not files.exists(spark, _STORED[key]):
+        path = _folder(spark, name)
+        build(path)
+        _STORED[key] = path
+    return _STORED[key]
+
+
 _DIST = {
     Metric.L2: "list_distance(e.embedding::DOUBLE[], q.v)",
     Metric.DOT: "-list_inner_product(e.embedding::DOUBLE[], q.v)",
@@ -270,16 +285,51 @@ def ivf_cluster_means(spark: SparkSession, sf: str) -> DataFrame:
     return means.select("cluster", "n", F.posexplode("centroid").alias("dim_at", "m")).select("cluster", "dim_at", "n", (F.round("m", 6) + 0.0).alias("mean"))
 
 
-@_query(f"WITH {_ASSIGNED}, q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0), p AS (SELECT cluster FROM c, q ORDER BY list_distance(c.v, q.v), cluster LIMIT {NPROBE}) SELECT vec_id AS id, round(list_distance(embedding::DOUBLE[], q.v), 6) + 0.0 AS score FROM a JOIN p USING (cluster), q ORDER BY list_distance(embedding::DOUBLE[], q.v), vec_id LIMIT {K}")
+def _lists(spark: SparkSession, sf: str, sq8: bool = False) -> ivf.Lists:
+    """The embeddings in stored inverted lists."""
+
+    def build(path: str) -> None:
+        rows = _rows(spark, sf).withColumn("lsn", F.lit(1).cast("long"))
+        ivf.Lists(spark, path, 0, sq8).create(rows, ivf.first_centroids(rows, NLIST))
+
+    return ivf.Lists(spark, _stored(spark, sf, "embeddings", f"lists{int(sq8)}", build), 0, sq8)
+
+
+_PROBED = f"q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0), p AS (SELECT cluster FROM c, q ORDER BY list_distance(c.v, q.v), cluster LIMIT {NPROBE})"
+
+
+@_query(f"WITH {_ASSIGNED}, {_PROBED} SELECT vec_id AS id, round(list_distance(embedding::DOUBLE[], q.v), 6) + 0.0 AS score FROM a JOIN p USING (cluster), q ORDER BY list_distance(embedding::DOUBLE[], q.v), vec_id LIMIT {K}")
 def ivf_probe_search(spark: SparkSession, sf: str) -> DataFrame:
-    assigned, centroids = _assigned(spark, sf)
-    return _scored(ivf.search(assigned, centroids, _probe(spark, sf), K, NPROBE))
+    """The probed clusters' folders are all that is read of the stored lists."""
+    return _scored(_lists(spark, sf).search(_probe(spark, sf), K, NPROBE))
 
 
 @_query(_knn_sql(Metric.L2))
 def ivf_full_probe(spark: SparkSession, sf: str) -> DataFrame:
-    assigned, centroids = _assigned(spark, sf)
-    return _scored(ivf.search(assigned, centroids, _probe(spark, sf), K, NLIST))
+    return _scored(_lists(spark, sf).search(_probe(spark, sf), K, NLIST))
+
+
+@_query(f"WITH {_ASSIGNED}, {_PROBED} SELECT vec_id AS id, CAST(cluster AS INTEGER) AS cluster FROM a JOIN p USING (cluster)")
+def ivf_pruned_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """All rows that a probe reads."""
+    lists = _lists(spark, sf)
+    return lists.rows(ivf.probed(lists.centroids, _probe(spark, sf), NPROBE)).select("id", "cluster")
+
+
+#: Later changes: rows of label 0 are deleted, those of label 1 take the vector of the row before.
+_CHANGED = "n AS (SELECT vec_id, label, CASE WHEN label = 1 THEN coalesce(lag(embedding) OVER (ORDER BY vec_id), embedding) ELSE embedding END AS embedding FROM embeddings), l AS (SELECT * FROM n WHERE label <> 0)"
+
+
+@_query(f"WITH {_CENTROIDS}, {_CHANGED}, a AS (SELECT vec_id, embedding, cluster, row_number() OVER (PARTITION BY vec_id ORDER BY list_distance(embedding::DOUBLE[], v), cluster) AS nth FROM l, c QUALIFY nth = 1), {_PROBED} SELECT vec_id AS id, round(list_distance(embedding::DOUBLE[], q.v), 6) + 0.0 AS score FROM a JOIN p USING (cluster), q ORDER BY list_distance(embedding::DOUBLE[], q.v), vec_id LIMIT {K}")
+def ivf_incremental(spark: SparkSession, sf: str) -> DataFrame:
+    """Overwrites and deletions as a delta of the lists, without training or rebuilding."""
+    rows = _rows(spark, sf).withColumn("lsn", F.lit(1).cast("long"))
+    label = F.get_json_object("payload", "$.label").cast("int")
+    lists = ivf.Lists(spark, _folder(spark, "lists"), 0, False).create(rows, ivf.first_centroids(rows, NLIST))
+    before = rows.select((F.col("id") + 1).alias("id"), F.col("vector").alias("earlier"))  # ids are dense
+    new = rows.where(label == 1).join(before, "id", "left").select("id", F.coalesce("earlier", "vector").alias("vector"), "payload", F.lit(2).cast("long").alias("lsn"))
+    lists.append(rows.where(label.isin(0, 1)), new, 1)
+    return _scored(lists.search(_probe(spark, sf), K, NPROBE))
 
 
 @_query()
@@ -321,12 +371,38 @@ def sq8_search(spark: SparkSession, sf: str) -> DataFrame:
     return _scored(search.knn(ivf.sq8_rows(rows, ivf.sq8_fit(rows)), _probe(spark, sf), K))
 
 
+@_query(f"WITH {_SQ8}, d AS (SELECT vec_id, list(low + least(255.0, greatest(0.0, round((x - low) / scale))) * scale ORDER BY dim_at) AS v FROM u JOIN f USING (dim_at) GROUP BY vec_id), {_ASSIGNED}, {_PROBED} SELECT vec_id AS id, round(list_distance(d.v, q.v), 6) + 0.0 AS score FROM d JOIN a USING (vec_id) JOIN p USING (cluster), q ORDER BY list_distance(d.v, q.v), vec_id LIMIT {K}")
+def ivf_sq8_probe(spark: SparkSession, sf: str) -> DataFrame:
+    """Stored codes of the probed clusters, decoded while they are searched."""
+    return _scored(_lists(spark, sf, True).search(_probe(spark, sf), K, NPROBE))
+
+
+def _graphs(spark: SparkSession, sf: str) -> DataFrame:
+    build = lambda path: graph.build(_rows(spark, sf), GRAPH).write.parquet(path)
+    return spark.read.parquet(_stored(spark, sf, "embeddings", "graphs", build))
+
+
 @_query()
 def hnsw_search(spark: SparkSession, sf: str) -> DataFrame:
-    """Every vector as a query against graphs of all vectors; tests hold its recall against knn_batch."""
-    rows, path = _rows(spark, sf), _folder(spark, "graphs")
-    graph.build(rows, Hnsw(16, 100, 64)).write.parquet(path)
-    return graph.search_batch(spark.read.parquet(path), rows, K)
+    """Every vector as a query against graphs of all vectors; hnsw_recall holds it against knn_batch."""
+    return graph.search_batch(_graphs(spark, sf), _rows(spark, sf), K, GRAPH)
+
+
+def _recall(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """(queries, enough): whether at least 0.9 of all nearest neighbours are found."""
+    n = exact.agg(F.count("*").alias("n"), F.count_distinct("query_id").alias("queries"))
+    hit = found.join(exact, ["query_id", "id"], "left_semi").agg(F.count("*").alias("hit"))
+    return n.crossJoin(hit).select("queries", (F.col("hit") >= 0.9 * F.col("n")).alias("enough"))
+
+
+@_query("SELECT count(*) AS queries, true AS enough FROM embeddings")
+def hnsw_recall(spark: SparkSession, sf: str) -> DataFrame:
+    return _recall(hnsw_search(spark, sf), knn_batch(spark, sf))
+
+
+@_query("SELECT count(*) AS queries, true AS enough FROM embeddings")
+def ivf_recall(spark: SparkSession, sf: str) -> DataFrame:
+    return _recall(ivf_batch_search(spark, sf), knn_batch(spark, sf))
 
 
 _TOKENS = "t AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '' AND octet_length(encode(x)) <= 40) AS t FROM documents WHERE text IS NOT NULL)"
@@ -342,11 +418,45 @@ def _texts(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
 
 
+def _postings(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return fulltext.read_index(spark, _stored(spark, sf, "documents", "postings", lambda path: fulltext.write_index(_texts(spark, sf), path)))
+
+
 @_query(f"WITH {_BM25} SELECT id, round(score, 6) AS score FROM b")
 def bm25_search(spark: SparkSession, sf: str) -> DataFrame:
+    """Over stored postings, of which the terms' folders are read."""
+    return _scored(fulltext.search_index(*_postings(spark, sf), WORDS))
+
+
+@_query(f"WITH {_BM25} SELECT id, round(score, 6) AS score FROM b")
+def bm25_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Without an index: one pass over the texts."""
     return _scored(fulltext.bm25(_texts(spark, sf), WORDS))
 
 
+#: Queries of several clauses: what must hold of a text (s), and the weight of each term.
+_CLAUSES: dict[str, tuple[str, str, dict[str, str]]] = {
+    "bm25_phrase": ('"the of"', "s LIKE '% the of %'", {"the": "1", "of": "1"}),
+    "bm25_must": ("+the and -of", "has('the') AND NOT has('of')", {"the": "1", "and": "1"}),
+    "bm25_and_not": ("the AND and NOT to", "has('the') AND has('and') AND NOT has('to')", {"the": "1", "and": "1"}),
+    "bm25_boost": ("the^3 der^0.5", "has('the') OR has('der')", {"the": "3", "der": "0.5"}),
+}
+
+
+def _clause_sql(where: str, weights: dict[str, str]) -> str:
+    def part(term: str, weight: str) -> str:
+        df = f"(SELECT count(*) FROM t WHERE list_contains(t, '{term}'))"
+        return f"CASE WHEN list_contains(t, '{term}') THEN {weight} * ln(1 + (z.n - {df} + 0.5) / ({df} + 0.5)) * tf('{term}') * 2.2 / (tf('{term}') + 1.2 * (0.25 + 0.75 * len(t) / z.avgdl)) ELSE 0.0 END"
+
+    sql = f"WITH {_TOKENS}, z AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM t), x AS (SELECT doc_id, t, ' ' || array_to_string(t, ' ') || ' ' AS s FROM t) SELECT doc_id AS id, round({' + '.join(part(t, w) for t, w in weights.items())}, 6) AS score FROM x, z WHERE {where}"
+    return re.sub(r"\btf\('(\w+)'\)", r"len(list_filter(t, lambda y: y = '\1'))", re.sub(r"\bhas\('(\w+)'\)", r"list_contains(t, '\1')", sql))
+
+
+for _name, (_text, _where, _weights) in _CLAUSES.items():
+    _QUERIES[_name] = lambda spark, sf, text=_text: _scored(fulltext.search_index(*_postings(spark, sf), text))
+    _SQL[_name] = _clause_sql(_where, _weights)
+
+
 @_query(f"WITH {_TOKENS}, u AS (SELECT doc_id, unnest(t) AS term FROM t) SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM u GROUP BY term")
 def bm25_postings(spark: SparkSession, sf: str) -> DataFrame:
     return fulltext.postings(_texts(spark, sf)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
@@ -360,7 +470,7 @@ def bm25_statistics(spark: SparkSession, sf: str) -> DataFrame:
 @_query(f"WITH {_BM25}, q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0), v AS (SELECT vec_id AS id, row_number() OVER (ORDER BY {_DIST[Metric.L2]}, vec_id) AS r FROM embeddings e, q QUALIFY r <= {2 * K}), w AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r FROM b QUALIFY r <= {2 * K}) SELECT id, round(sum(1.0::DOUBLE / (60 + r)), 6) AS score FROM (SELECT * FROM v UNION ALL SELECT * FROM w) GROUP BY id ORDER BY sum(1.0::DOUBLE / (60 + r)) DESC, id LIMIT {K}")
 def hybrid_rrf(spark: SparkSession, sf: str) -> DataFrame:
     near = search.knn(_rows(spark, sf), _probe(spark, sf), 2 * K)
-    return _scored(fulltext.hybrid(near, fulltext.bm25(_texts(spark, sf), WORDS, 2 * K), K))
+    return _scored(fulltext.hybrid(near, fulltext.search_index(*_postings(spark, sf), WORDS, 2 * K), K))
 
 
 def _tables(spark: SparkSession, sf: str) -> Tables:
@@ -433,15 +543,17 @@ def event_windows(spark: SparkSession, sf: str) -> DataFrame:
     return out.withColumns({"start": F.col("start").cast("timestamp_ntz"), "total": F.round("total", 6)})
 
 
-def _nearest_rank(p: float) -> Column:
-    return F.max(F.when(F.col("nth") == F.least(F.floor(F.col("n") * p), F.col("n") - 1), F.col("value")))
-
-
 @_query("SELECT event_type, count(*) AS n, max(value) FILTER (nth = least(floor(n * 0.5), n - 1)) AS p50, max(value) FILTER (nth = least(floor(n * 0.95), n - 1)) AS p95, max(value) FILTER (nth = least(floor(n * 0.99), n - 1)) AS p99 FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) - 1 AS nth, count(*) OVER (PARTITION BY event_type) AS n FROM events) GROUP BY event_type")
 def latency_percentiles(spark: SparkSession, sf: str) -> DataFrame:
-    own = Window.partitionBy("event_type")
-    e = load(spark, sf, "events").select("event_type", "value", (F.row_number().over(own.orderBy("value", "event_id")) - 1).alias("nth"), F.count("*").over(own).alias("n"))
-    return e.groupBy("event_type").agg(F.count("*").alias("count"), _nearest_rank(0.5).alias("p50"), _nearest_rank(0.95).alias("p95"), _nearest_rank(0.99).alias("p99")).withColumnRenamed("count", "n")
+    """Values are counted before they are ranked, and ranked by ranges of all of them, so that no type is one task's."""
+    return metrics.percentiles(load(spark, sf, "events"), "event_type", "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+
+
+@_query("SELECT event_type, count(*) AS n, count(*) FILTER (event_type = 'error') AS errors, round(count(*) / (epoch(max(ts)) - epoch(min(ts))), 6) AS per_second, round(sum(value), 4) AS total, " + ", ".join(f"count(*) FILTER (value <= {b}) AS le_{b}" for b in (1, 10, 100)) + " FROM events GROUP BY event_type")
+def metrics_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    """Counters and cumulative buckets, as a metrics endpoint gives them, with throughput."""
+    out = metrics.histogram(load(spark, sf, "events").withColumn("failed", F.col("event_type") == "error"), "event_type", "value", (1, 10, 100), "ts", "failed")
+    return out.withColumns({"per_second": F.round("per_second", 6), "total": F.round("total", 4)})
 
 
 @_query("SELECT a.vec_id AS id, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) + 0.0 AS dot, round(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS l2 FROM embeddings a, embeddings b WHERE b.vec_id = 0")
@@ -464,6 +576,9 @@ _RELATIONAL: dict[str, tuple[str, str | None]] = {
     "sql_running_sum": ("SELECT user_id, event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4) AS running FROM events", None),
     "sql_set_operations": ("(SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier) UNION ALL (SELECT n_nationkey FROM nation EXCEPT SELECT s_nationkey FROM supplier)", None),
     "sql_above_average": ("WITH a AS (SELECT avg(c_acctbal) AS m FROM customer) SELECT c_custkey FROM customer WHERE c_acctbal > (SELECT m FROM a)", None),
+    "sql_approx_distinct": ("SELECT event_type, true AS close FROM events GROUP BY event_type", "SELECT event_type, abs(approx_count_distinct(event_id, 0.01) - count(*)) <= 0.05 * count(*) AS close FROM events GROUP BY event_type"),
+    "sql_maps": ("SELECT c_custkey, map_extract_value(map([c_mktsegment, 'nation'], [c_name, CAST(c_nationkey AS VARCHAR)]), 'nation') AS nation, cardinality(map([c_mktsegment, 'nation'], [c_name, 'x'])) AS n FROM customer", "SELECT c_custkey, element_at(map(c_mktsegment, c_name, 'nation', CAST(c_nationkey AS STRING)), 'nation') AS nation, CAST(cardinality(map(c_mktsegment, c_name, 'nation', 'x')) AS BIGINT) AS n FROM customer"),
+    "sql_digests": ("SELECT c_custkey, md5(c_name) AS m, sha256(c_name) AS s FROM customer", "SELECT c_custkey, md5(c_name) AS m, sha2(c_name, 256) AS s FROM customer"),
     "sql_json_dates": ("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, month(ts) AS m FROM events", "SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k, CAST(month(ts) AS BIGINT) AS m FROM events"),
 }
 
@@ -488,9 +603,12 @@ for _name, (_sql, _spark_sql) in _RELATIONAL.items():
 
 def queries() -> dict[str, Query]:
     """All queries by name."""
+    from . import collection_queries  # noqa: F401, PLC0415 - adds those through the engine
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
     """Their SQL, where there is one."""
+    queries()
     return dict(_SQL)

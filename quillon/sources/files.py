@@ -29,6 +29,12 @@ def names(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
 
+def signature(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of a file, or of a folder's files."""
+    fs, p = _fs(spark, path)
+    return (path, *sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(p)))
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     """A small file's text."""
     fs, p = _fs(spark, path)

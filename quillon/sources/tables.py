@@ -101,3 +101,13 @@ def register_enrichment(spark: SparkSession, folder: str) -> list[str]:
     for t in found:
         spark.read.parquet(f"{folder}/{t}.parquet").createOrReplaceTempView(t)
     return found
+
+
+def register_namespace(spark: SparkSession, namespace: str) -> list[str]:
+    """Views of the enrichment tables that a namespace of the catalog has (catalog.namespace, or a database); the others are skipped."""
+    found = []
+    for t in ENRICHMENT:
+        if spark.catalog.tableExists(f"{namespace}.{t}"):
+            spark.table(f"{namespace}.{t}").createOrReplaceTempView(t)
+            found.append(t)
+    return found

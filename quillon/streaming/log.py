@@ -1,17 +1,22 @@
 """A collection's folder: log segments, checkpoints and the pointer to the current one.
 
-    log/<first lsn>/     one Parquet folder for each commit, moved into place when whole
-    state/<version>/     compacted states
-    _CURRENT             JSON {version, path, last_lsn}
+    log/<first lsn>-<last lsn>/   one Parquet folder for each commit, moved into place when whole
+    state/<version>/              compacted states
+    consumers/<name>              JSON {last_lsn}: how far a follower, such as staging, has read
+    _CURRENT                      JSON {version, path, last_lsn}
+    _RETIRED                      JSON {path: time}: what no new reader needs
 
 A reader takes the pointer's state and the segments after its last_lsn, so it
-sees one version throughout, whatever is written meanwhile.
+sees one version throughout, whatever is written meanwhile: what a checkpoint
+replaces is retired, and deleted only when it has been so for a time of grace
+and every follower has read it.
 """
 
 from __future__ import annotations
 
 import json
 import struct
+import time
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -23,6 +28,8 @@ from ..sources import files
 from ..types import EngineError
 from .compaction import after, as_log, compact
 
+#: Milliseconds for which readers may still use what a checkpoint has replaced.
+GRACE_MS = 3_600_000
 LOG = "lsn long, id long, op string, vector array<float>, payload string"
 
 
@@ -98,23 +105,70 @@ class ChangeLog:
             rest = as_log(self.spark.read.parquet(now["path"])).unionByName(rest)
         return compact(rest)
 
-    def checkpoint(self) -> dict:
-        """Write the state as a new version and point to it; then drop the segments that it holds."""
+    def followers(self) -> dict[str, int]:
+        """The last lsn that each follower has read."""
+        return {n: json.loads(files.read_text(self.spark, f"{self.folder}/consumers/{n}"))["last_lsn"] for n in files.names(self.spark, f"{self.folder}/consumers") if "." not in n}
+
+    def follow_as(self, name: str, last_lsn: int) -> None:
+        """Note that a follower has read up to last_lsn: later segments stay until it says more."""
+        files.write_text(self.spark, f"{self.folder}/consumers/{name}", json.dumps({"last_lsn": last_lsn}))
+
+    def unfollow(self, name: str) -> None:
+        """Forget a follower, so that nothing waits for it."""
+        files.delete(self.spark, f"{self.folder}/consumers/{name}")
+
+    def first_lsn(self) -> int:
+        """The first lsn from which on the log is whole."""
+        first = self.current()["last_lsn"] + 1
+        for low, high, _ in reversed(self.segments()):
+            if high < first - 1:
+                break
+            first = min(first, low)
+        return first
+
+    def checkpoint(self, grace_ms: int = GRACE_MS, now_ms: int | None = None) -> dict:
+        """Write the state as a new version and point to it; retire what it replaces, and delete what has been retired for long."""
         now, last = self.current(), self.last_lsn()
-        version = now["version"] + 1
-        path = f"{self.folder}/state/{version:06d}-{uuid.uuid4().hex[:8]}"
-        self.state().write.parquet(path)
-        pointer = {"version": version, "path": path, "last_lsn": last}
-        files.write_text(self.spark, f"{self.folder}/_CURRENT", json.dumps(pointer))
-        self.truncate(last)
-        return pointer
-
-    def truncate(self, watermark: int) -> int:
-        """Delete the segments that the checkpoint holds; the number deleted."""
-        safe = min(watermark, self.current()["last_lsn"])
-        gone = [p for _, last, p in self.segments() if last <= safe]
+        if not now["path"] or last > now["last_lsn"]:
+            version = now["version"] + 1
+            path = f"{self.folder}/state/{version:06d}-{uuid.uuid4().hex[:8]}"
+            self.state().write.parquet(path)
+            old, now = now["path"], {"version": version, "path": path, "last_lsn": last}
+            files.write_text(self.spark, f"{self.folder}/_CURRENT", json.dumps(now))
+            if old:
+                self.retire([old], now_ms)
+        self.truncate(last, grace_ms, now_ms)
+        return now
+
+    def checkpoint_if_due(self, changes: int, grace_ms: int = GRACE_MS) -> bool:
+        """One tick of periodic checkpoints: whether there were that many changes since the last, so that one was made."""
+        due = self.last_lsn() - self.current()["last_lsn"] >= max(1, changes)
+        if due:
+            self.checkpoint(grace_ms)
+        return due
+
+    def _retired(self) -> dict[str, int]:
+        path = f"{self.folder}/_RETIRED"
+        return json.loads(files.read_text(self.spark, path)) if files.exists(self.spark, path) else {}
+
+    def retire(self, paths: list[str], now_ms: int | None = None) -> dict[str, int]:
+        """Note folders that no new reader needs; those that are noted, with the times."""
+        have = self._retired()
+        now_ms = int(time.time() * 1000) if now_ms is None else now_ms
+        have.update({p: now_ms for p in paths if p not in have})
+        files.write_text(self.spark, f"{self.folder}/_RETIRED", json.dumps(have))
+        return have
+
+    def truncate(self, watermark: int, grace_ms: int = GRACE_MS, now_ms: int | None = None) -> int:
+        """Retire the segments that the checkpoint holds and every follower has read, and delete
+        what has been retired for longer than the grace; the number of folders deleted."""
+        safe = min([watermark, self.current()["last_lsn"], *self.followers().values()])
+        now_ms = int(time.time() * 1000) if now_ms is None else now_ms
+        have = self.retire([p for _, last, p in self.segments() if last <= safe], now_ms)
+        gone = [p for p, at in have.items() if now_ms - at >= grace_ms]
         for p in gone:
             files.delete(self.spark, p)
+        files.write_text(self.spark, f"{self.folder}/_RETIRED", json.dumps({p: t for p, t in have.items() if p not in gone}))
         return len(gone)
 
 

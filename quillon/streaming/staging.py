@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import time
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
@@ -55,6 +57,13 @@ class Staging:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
 
+    def create(self) -> Staging:
+        """Make the table if it isn't there: no rows, watermark 0."""
+        if not files.exists(self.spark, f"{self.folder}/_WATERMARK"):
+            files.write_text(self.spark, f"{self.folder}/data/.keep", "")
+            files.write_text(self.spark, f"{self.folder}/_WATERMARK", json.dumps({"last_lsn": 0}))
+        return self
+
     def watermark(self) -> int:
         path = f"{self.folder}/_WATERMARK"
         return json.loads(files.read_text(self.spark, path))["last_lsn"] if files.exists(self.spark, path) else 0
@@ -85,6 +94,24 @@ def latest_snapshots(snapshots: DataFrame) -> DataFrame:
     return last.select("collection_name", "s.snapshot_blob", "s.written_at_ms")
 
 
+def write_snapshot(state: DataFrame, folder: str, collection: str, now_ms: int) -> None:
+    """Add a collection's state (id, vector, payload, lsn) to a table of snapshots, a row for at most 10,000
+    vectors: (collection_name, part, snapshot_blob, written_at_ms)."""
+    body = F.to_json(F.collect_list(F.struct("id", "vector", "payload", "lsn")))
+    parts = state.withColumn("part", F.floor(F.monotonically_increasing_id() / 10_000)).groupBy("part").agg(F.encode(body, "UTF-8").alias("snapshot_blob"))
+    out = parts.select(F.lit(collection).alias("collection_name"), "part", "snapshot_blob", F.lit(now_ms).cast("long").alias("written_at_ms"))
+    out.write.mode("append").parquet(folder)
+
+
+def read_snapshot(snapshots: DataFrame, collection: str) -> DataFrame:
+    """(id, vector, payload, lsn) of the last snapshot of a collection."""
+    own = snapshots.where(F.col("collection_name") == collection)
+    last = own.agg(F.max("written_at_ms").alias("last"))
+    blobs = own.join(F.broadcast(last), F.col("written_at_ms") == F.col("last"))  # one row
+    rows = F.from_json(F.decode("snapshot_blob", "UTF-8"), "array<struct<id:long,vector:array<float>,payload:string,lsn:long>>")
+    return blobs.select(F.explode(rows).alias("r")).select("r.id", "r.vector", "r.payload", "r.lsn")
+
+
 class SnapshotTable:
     """A versioned table of Parquet files: each version names its files and its parent."""
 
@@ -138,11 +165,57 @@ class SnapshotTable:
         return out if out is not None else self.spark.createDataFrame([], "seq int, op string, id long, vector array<float>, payload string")
 
 
-def flush(log: ChangeLog, staging: Staging, now_ms: int, limit: int = 500) -> int:
-    """One tick of the flusher: at most ``limit`` changes after the watermark go to staging; the new watermark."""
+def flush(log: ChangeLog, staging: Staging, now_ms: int, limit: int = 500, name: str = "staging") -> int:
+    """One tick of the flusher: at most ``limit`` changes after the watermark go to staging; the new watermark.
+
+    The log is told how far staging has come, so that a checkpoint drops nothing
+    that staging hasn't read. Where changes are gone already (checkpoints before
+    the first tick), the live rows are staged instead, and deletions of the
+    staged ids that aren't live.
+    """
     mark = staging.watermark()
-    last = min(log.last_lsn(), mark + limit) if limit else log.last_lsn()
-    return staging.append(log.log(mark).where(F.col("lsn") <= last), now_ms, last)
+    if name not in log.followers():
+        log.follow_as(name, mark)
+    now = log.current()["last_lsn"]
+    if mark + 1 < log.first_lsn():
+        live = log.state()
+        up = live.where(F.col("lsn") > mark).select("lsn", "id", F.lit("upsert").alias("op"), "vector", "payload")
+        have = staging.rows().groupBy("id").agg(F.max_by("merge_status", "lsn").alias("s")).where("s != 'deleted'")
+        down = have.join(live.select("id"), "id", "left_anti").select(F.lit(log.last_lsn()).cast("long").alias("lsn"), "id", F.lit("delete").alias("op"), F.lit(None).cast("array<float>").alias("vector"), F.lit(None).cast("string").alias("payload"))
+        done = staging.append(up.unionByName(down), now_ms, max(now, log.last_lsn()))
+    else:
+        last = min(log.last_lsn(), mark + limit) if limit else log.last_lsn()
+        done = staging.append(log.log(mark).where(F.col("lsn") <= last), now_ms, last)
+    log.follow_as(name, done)
+    return done
+
+
+def flush_all(log: ChangeLog, staging: Staging, now_ms: int, limit: int = 500, name: str = "staging") -> int:
+    """Ticks of the flusher until staging has all of the log; the watermark."""
+    done = -1
+    while done < log.last_lsn():
+        done = flush(log, staging, now_ms, limit, name)
+    return done
+
+
+def run_flusher(log: ChangeLog, staging: Staging, stop: Callable[[], bool], tick_s: float = 0.1, limit: int = 500, checkpoint_s: float = 300.0) -> int:
+    """Flush every tick_s and checkpoint every checkpoint_s until stop() says so; then all that is left. The watermark.
+
+    The first checkpoint comes after checkpoint_s, the last at the end. A tick
+    that fails leaves the watermark where it was, so the next one repeats it.
+    """
+    due = time.monotonic() + checkpoint_s
+    while not stop():
+        if staging.watermark() < log.last_lsn():
+            flush(log, staging, int(time.time() * 1000), limit)
+        else:
+            time.sleep(tick_s)
+        if time.monotonic() >= due:
+            log.checkpoint_if_due(1)
+            due = time.monotonic() + checkpoint_s
+    done = flush_all(log, staging, int(time.time() * 1000), 0)
+    log.checkpoint_if_due(1)
+    return done
 
 
 def follow(changes: DataFrame, log: ChangeLog, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
@@ -174,6 +247,62 @@ def tick(delta: DataFrame, done: int, config: Maintenance) -> DataFrame:
     return rows.where(F.col("n") <= done + config.max_rows_per_tick) if config.max_rows_per_tick else rows
 
 
+def maintain(collection, source: SnapshotTable, schema, config: Maintenance) -> dict:
+    """One tick of maintenance of a collection that follows a versioned table.
+
+    The table's changes since the version last applied (kept beside the log) go
+    to the collection, at most ``max_rows_per_tick`` of them at a time; the rest
+    waits for the next tick. A source that no longer descends from that version,
+    or a delta of more than ``full_rescan_rows``, is scanned as a whole, and ids
+    that it doesn't have are deleted. An index with more than
+    ``tombstone_threshold`` of its rows gone is rebuilt. Returns what was done.
+    """
+    out = {"applied": 0, "waiting": 0, "rescan": False, "rebuilt": False}
+    versions = source.versions()
+    if not config.enabled or not versions:
+        return out
+    spark, path = collection.spark, f"{collection.folder}/_APPLIED"
+    at = json.loads(files.read_text(spark, path)) if files.exists(spark, path) else {"version": None, "to": None, "rescan": False}
+    end = at["to"] or versions[-1]
+    if at["version"] != end:
+        rescan = at["rescan"]
+        try:
+            delta = source.scan_delta(schema, None if rescan else at["version"], end)
+            rescan = rescan or (at["version"] is not None and delta.count() > config.full_rescan_rows)
+        except SnapshotDiverged:
+            rescan = True
+        if rescan:
+            delta = source.scan_delta(schema, None, end)
+            gone = collection.rows().select("id").join(delta.select("id"), "id", "left_anti")
+            delta = gone.select(F.lit(0).alias("seq"), F.lit("delete").alias("op"), "id", F.lit(None).cast(delta.schema["vector"].dataType).alias("vector"), F.lit(None).cast("string").alias("payload")).unionByName(delta)
+        # a bound on a tick is small, so its rows are the first of one sort
+        limit, order = config.max_rows_per_tick, ["seq", "id", "op"]
+        if at.get("last"):
+            delta = delta.where(F.struct(*order) > F.struct(F.lit(at["last"][0]), F.lit(at["last"][1]).cast("long"), F.lit(at["last"][2])))
+        left = delta.count()
+        rows = delta.orderBy(*order).limit(limit) if limit else delta
+        last = rows.orderBy(F.desc("seq"), F.desc("id"), F.desc("op")).first() if limit and limit < left else None
+        collection.apply(rows)
+        out |= {"applied": min(limit, left) if limit else left, "waiting": max(0, left - limit) if limit else 0, "rescan": rescan}
+        now = {"version": at["version"], "to": end, "rescan": rescan, "last": list(last[c] for c in order)} if last else {"version": end, "to": None, "rescan": False}
+        files.write_text(spark, path, json.dumps(now))
+    if collection.tombstones() > config.tombstone_threshold:
+        collection.build_index()
+        out["rebuilt"] = True
+    return out
+
+
+def run_maintenance(collection, source: SnapshotTable, schema, config: Maintenance, stop: Callable[[], bool]) -> int:
+    """Ticks every ``interval_s`` until stop() says so; the number of rows applied."""
+    applied = 0
+    while config.enabled and not stop():
+        done = maintain(collection, source, schema, config)
+        applied += done["applied"]
+        if not done["waiting"]:
+            time.sleep(config.interval_s)
+    return applied
+
+
 def windowed_counts(events: DataFrame, late: str = "1 hour", width: str = "1 hour") -> DataFrame:
     """(start, event_type, n, total) of events (ts, event_type, value), batch or stream, by tumbling windows."""
     marked = events.withWatermark("ts", late)
