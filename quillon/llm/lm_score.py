@@ -40,6 +40,8 @@ from ._shared import pieces
 
 #: Order of the model, weight of the shorter context's probability, bytes of text in a group, and in what a task packs at a time.
 ORDER, PRIOR, GROUP_BYTES, PACK_BYTES = 3, 2.0, 8 << 20, 32 << 20
+#: Bits of an n-gram's hash.
+BITS = 60
 #: Stands for the end of a text.
 END = np.uint64(0x0123456789ABCDEF)
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -55,12 +57,15 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def grams(symbols: np.ndarray, order: int) -> list[np.ndarray]:
-    """For each order from 1 the hash of the n-gram that ends at each symbol, whatever text it begins in."""
+    """For each order from 1 the hash of the n-gram that ends at each symbol, whatever text it begins in.
+
+    Hashes have BITS bits: of 10^13 different n-grams, 9 in a million share theirs.
+    """
     out = [_text.mix(symbols)]
     for _ in range(1, order):
         before = np.concatenate([np.zeros(min(1, len(symbols)), np.uint64), out[-1][:-1]])
         out.append(_text.mix(before * _MUL + symbols))
-    return out
+    return [x >> np.uint64(64 - BITS) for x in out]
 
 
 def _place(sizes: np.ndarray) -> np.ndarray:
@@ -86,7 +91,7 @@ def _known(raw: pa.Scalar) -> np.ndarray:
 
 
 def _part(known: np.ndarray, parts: int) -> np.ndarray:
-    return ((known >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    return ((known >> np.uint64(BITS - 32)) * np.uint64(parts)) >> np.uint64(32)
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +235,7 @@ def size_of(docs: DataFrame) -> tuple[int, int]:
             return pa.record_batch([pa.array(some.astype(np.int32)), pa.array(own, pa.binary()), pa.array(np.where(np.arange(len(some)) == 0, total, 0))], names=["part", "block", "n"])
 
         for batch in pieces(batches, "text"):
-            held.append(tokens(batch.column("text"))[0])
+            held.append(grams(tokens(batch.column("text"))[0], 1)[0])
             size, total = size + len(held[-1]), total + len(held[-1])
             if size > 1_000_000:
                 known, held, size = np.unique(np.concatenate([known, *held])), [], 0
