@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.distance import EPSILON, pairwise
 from ..types import InvalidArgument, Metric
-from .search import knn
+from .search import BLOCK, knn, known, meetings
 
 #: Rounds of k-means at most, and the movement of all centroids that ends it.
 ROUNDS, TOLERANCE = 25, 1e-4
@@ -66,8 +66,11 @@ def _vectors(column: pa.Array) -> np.ndarray:
 
 def assign(rows: DataFrame, centroids: DataFrame, metric: Metric | str = Metric.L2) -> DataFrame:
     """rows (id, vector, ...) with ``cluster``, the nearest centroid, and ``distance`` to it."""
-    matrix = rows.sparkSession.sparkContext.broadcast(_matrix(centroids))
-    metric = Metric.parse(metric)
+    return _assigned(rows, _matrix(centroids), Metric.parse(metric))
+
+
+def _assigned(rows: DataFrame, centroids: np.ndarray, metric: Metric) -> DataFrame:
+    matrix = rows.sparkSession.sparkContext.broadcast(centroids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = nearest_of(matrix.value, metric)
@@ -110,19 +113,18 @@ def kmeans(rows: DataFrame, nlist: int, metric: Metric | str = Metric.L2, rounds
     all its vectors begins anew at the largest cluster's previous centroid. Only
     centroids (nlist of them) come to the driver.
     """
-    spark = rows.sparkSession
+    metric = Metric.parse(metric)
     begin = rows.withColumn("__h", F.xxhash64("id"))
     centroids = np.array(_first(begin, nlist, first or "__h"), dtype=np.float64)
-    schema = "cluster int, centroid array<double>"
     for _ in range(rounds if len(centroids) else 0):
-        means = {r["cluster"]: (r["n"], r["centroid"]) for r in cluster_means(assign(rows.select("id", "vector"), spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centroids)], schema), metric)).collect()}
+        means = {r["cluster"]: (r["n"], r["centroid"]) for r in cluster_means(_assigned(rows.select("id", "vector"), centroids, metric)).collect()}
         largest = max(means, key=lambda c: (means[c][0], c))
         new = np.array([means[i][1] if i in means else centroids[largest] for i in range(len(centroids))])
         moved = float(np.sqrt(((new - centroids) ** 2).sum(1)).max())
         centroids = new
         if moved < tolerance:
             break
-    return spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centroids)], schema)
+    return rows.sparkSession.createDataFrame([(i, c.tolist()) for i, c in enumerate(centroids)], "cluster int, centroid array<double>")
 
 
 def probed(centroids: DataFrame, query: list[float], nprobe: int, metric: Metric | str = Metric.L2) -> list[int]:
@@ -140,30 +142,15 @@ def search(assigned: DataFrame, centroids: DataFrame, query: list[float], k: int
     return knn(assigned.where(F.col("cluster").isin(probed(centroids, query, nprobe, metric))), query, k, metric, predicate, include_payload)
 
 
-def _nearest_within(metric: Metric, k: int):
-    def run(queries: pa.Table, rows: pa.Table) -> pa.Table:
-        out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]]
-        if queries.num_rows and rows.num_rows:
-            v, ids = _vectors(rows["vector"].combine_chunks()), np.asarray(rows["id"])
-            q, qid = _vectors(queries["vector"].combine_chunks()), np.asarray(queries["query_id"])
-            for i in range(len(q)):
-                d = pairwise(metric, v, q[i])
-                near = np.lexsort((ids, d))[:k]
-                for column, got in zip(out, (np.full(len(near), qid[i]), ids[near], d[near]), strict=True):
-                    column.append(got)
-        return pa.table([pa.array(np.concatenate(c)) for c in out], names=["query_id", "id", "score"])
-
-    return run
-
-
 def search_batch(assigned: DataFrame, centroids: DataFrame, queries: DataFrame, k: int, nprobe: int, metric: Metric | str = Metric.L2) -> DataFrame:
     """(query_id, id, score, rank): for every query (id, vector) the k nearest within its nprobe nearest clusters.
 
-    Queries meet the rows of a cluster in one place, which must hold the cluster
-    and the queries that probe it: nlist grows with the rows. Null vectors are left out.
+    The queries that probe a cluster are cut into blocks, and its rows pass each block as
+    a stream, so neither a large cluster nor one that is often probed must fit in
+    memory. Null vectors are left out.
     """
-    metric = Metric.parse(metric)
-    matrix = assigned.sparkSession.sparkContext.broadcast(_matrix(centroids))
+    metric, m = Metric.parse(metric), _matrix(centroids)
+    matrix = assigned.sparkSession.sparkContext.broadcast(m)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = matrix.value
@@ -174,12 +161,12 @@ def search_batch(assigned: DataFrame, centroids: DataFrame, queries: DataFrame,
             take = pa.array(np.repeat(np.arange(batch.num_rows), min(nprobe, len(m))))
             yield pa.record_batch([batch.column("query_id").take(take), batch.column("vector").take(take), pa.array(np.concatenate(near).astype(np.int32))], names=["query_id", "vector", "cluster"])
 
-    asked = queries.where("vector is not null and id is not null").select(F.col("id").cast("long").alias("query_id"), "vector")
+    asked = known(queries, "query_id")
     probes = asked.mapInArrow(run, f"query_id long, vector {dict(asked.dtypes)['vector']}, cluster int")
-    rows = assigned.where("id is not null").select(F.col("id").cast("long"), "vector", "cluster")
-    near = probes.groupBy("cluster").cogroup(rows.groupBy("cluster")).applyInArrow(_nearest_within(metric, k), "query_id long, id long, score double")
-    w = Window.partitionBy("query_id").orderBy("score", "id")
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    blocks = asked.count() * min(nprobe, len(m)) // (max(1, len(m)) * BLOCK) + 1
+    probes = probes.withColumn("cell", F.col("cluster") * blocks + F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    rows = assigned.where("id is not null").select(F.col("id").cast("long"), "vector", F.explode(F.sequence(F.col("cluster") * blocks, F.col("cluster") * blocks + (blocks - 1))).alias("cell"))
+    return meetings(probes, rows, max(1, len(m)) * blocks, k, metric)
 
 
 def sq8_fit(rows: DataFrame) -> DataFrame:

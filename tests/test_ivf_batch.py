@@ -2,7 +2,7 @@
 
 import pytest
 
-from quillon.operators import ivf
+from quillon.operators import ivf, search
 from quillon.plans import queries
 
 
@@ -24,3 +24,12 @@ def test_ivf_batch_of_all_clusters_is_exact(spark):
     at = {i: (0.1 * i, i % 7) for i in range(60)}
     want = [(q, n + 1, i) for q in at for n, i in enumerate(sorted(at, key=lambda i: (sum((a - b) ** 2 for a, b in zip(at[i], at[q], strict=True)) ** 0.5, i))[:3])]
     assert len(got) == len(want) and sum(g != w for g, w in zip(got, sorted(want), strict=True)) == 0
+
+
+def test_a_large_cluster_streams_past_blocks_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(ivf, "BLOCK", 16)
+    rows = spark.createDataFrame([(i, [float(i % 17), 0.25 * i]) for i in range(200)], "id long, vector array<double>")
+    centroids = ivf.kmeans(rows, 2)
+    got = ivf.search_batch(ivf.assign(rows, centroids), centroids, rows, 3, 2)
+    plan = got._jdf.queryExecution().toString()
+    assert "CoGroup" not in plan and {(r.query_id, r.id) for r in got.collect()} == {(r.query_id, r.id) for r in search.knn_batch(rows, rows, 3).collect()}
